@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.checkpoint import checkpointed  # noqa: F401
+
 #: Rows in one Arrow batch: texts can be very long, so batches hold few rows.
 BATCH_ROWS = 1000
 
@@ -24,19 +26,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share.
-
-    Only where that setting is absent (tests, a single machine) a folder of the machine is used.
-    """
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tideline-"))
-    return df.checkpoint()
-
-
 def hash_words(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     from xxhash import xxh3_64_intdigest

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, pieces, quality_rules, url_filter
+from . import license_scan, ngram_join, packing, pieces, quality_rules, url_filter
 
-MODULES = [quality_rules, license_scan, url_filter, pieces]
+MODULES = [quality_rules, license_scan, packing, url_filter, ngram_join, pieces]
 
 
 def queries() -> dict:
