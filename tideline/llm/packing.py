@@ -25,39 +25,71 @@ TABLE_ROWS = 400_000
 GROUP_CHARS = 4_000_000
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class TokenTable:
-    """Ids, as little-endian unsigned 32-bit bytes, of distinct words with the space before them."""
+    """Ids, as little-endian unsigned 32-bit bytes, of distinct words with the space before them.
+
+    The merges are run by tiktoken, whose ranks are the tokenizer's own ids; texts that hold a special token, or a space
+    beside more white space, go to the tokenizer itself.
+    """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = byte_letters()
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)  # tokens that start with a space
+        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.ids: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def fill(self, words: list[str]) -> None:
+        """Encode new words all in one text; where a token starts with a space, a word starts."""
         import numpy as np
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [w for w in words if w]
+        self.ids[""] = np.array(self.fast.encode_ordinary(" "), "<u4").tobytes()
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(words)) if words else [], "<u4")
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(words):
+            raise ValueError("a token of this vocabulary crosses a space")
+        data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        self.ids.update(zip(words, map(data.__getitem__, map(slice, at, at[1:]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, exactly the tokenizer's.
 
         The tokenizer's pattern starts a token at each single space after a character that is no white space, and no
-        merge crosses tokens; so words can be looked up apart. Texts with a space beside more white space are encoded whole.
+        merge crosses tokens; so words can be looked up apart.
         """
+        import numpy as np
+
         out: list[bytes] = []
         for at in _groups(texts):
             group = texts[at]
-            parts = [None if ODD_SPACE.search(t) else t.split(" ") for t in group]
+            parts = [None if ODD_SPACE.search(t) or any(x in t for x in self.special) else t.split(" ") for t in group]
             words = set(chain.from_iterable(p[1:] for p in parts if p))
             if len(self.ids) + len(words) > TABLE_ROWS:
                 self.ids.clear()
-            new = [w for w in words if w not in self.ids]
-            self.ids.update(zip(new, self._encode([" " + w for w in new])))
-            heads = iter(self._encode([t if p is None else p[0] for t, p in zip(group, parts)]))
+            self.fill([w for w in words if w not in self.ids])
             get = self.ids.__getitem__
-            out.extend(next(heads) if p is None else b"".join([next(heads), *map(get, p[1:])]) for p in parts)
+            for t, p in zip(group, parts):
+                if p is None:
+                    out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                else:
+                    out.append(b"".join([np.array(self.fast.encode_ordinary(p[0]), "<u4").tobytes(), *map(get, p[1:])]))
         return out
 
 
