@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of what is no longer referenced.
+
+    Its cleaner acts when the driver's JVM collects garbage, which a driver with little to do puts off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder in spark.checkpoint.dir and read it back.
+    """Write `df` to the folder in spark.checkpoint.dir and read it back; its shuffles may then go.
 
     Only where that setting is absent (tests, a single machine) a folder of the machine is used.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tideline-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    release(spark)
+    return out
