@@ -331,18 +331,20 @@ def _link_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 def join_clusters(sets: DataFrame, clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, component) of the sets that link with another."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    own = sets.join(clusters.join(sizes, "component").withColumnRenamed("node", "rep"), "rep")
-    own = own.withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    own = checkpointed(own.select("component", "blocks", "block", "rep", "members", F.lit(False).alias("must")))
-    big = own.where("blocks > 1")
+    place = clusters.join(sizes, "component").withColumnRenamed("node", "rep").withColumn("blocks", F.ceil(F.col("size") / block))
+    place = checkpointed(place.select("rep", "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(False).alias("must")))
+    columns = ["component", "block", "rep", "members", "must"]
+    own = sets.select("rep", "members").join(place, "rep")
+    if not place.where("blocks > 1").limit(1).count():
+        return connected_components(_link_groups(own.select(columns), ["component", "block"]))
+    split = place.where("blocks > 1")
     picks = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep")).alias(f"p{j}") for j in range(LEADERS)]
-    leaders = big.groupBy("component").agg(*picks).select(F.explode(F.array_distinct(F.array(*(F.col(f"p{j}.rep") for j in range(LEADERS))))).alias("rep"))
+    leaders = split.groupBy("component").agg(*picks).select(F.explode(F.array_distinct(F.array(*(F.col(f"p{j}.rep") for j in range(LEADERS))))).alias("rep"))
+    big = sets.select("rep", "members").join(split, "rep")
     shared = big.join(leaders, "rep").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first = checkpointed(_link_groups(own.unionByName(shared.select(own.columns)), ["component", "block"]))
+    first = checkpointed(_link_groups(own.select(columns).unionByName(shared.select(columns)), ["component", "block"]))
     found = connected_components(first)
-    if not big.limit(1).count():
-        return found
-    inside = big.select("component", "rep").join(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    inside = split.select("component", "rep").join(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     parts = inside.groupBy("component", "part").agg(F.count("*").alias("many"))
     largest = parts.groupBy("component").agg(F.max(F.struct("many", "part")).alias("top")).select("component", F.col("top.part").alias("part"))
     outside = checkpointed(inside.join(largest, ["component", "part"], "left_anti").select("rep", "component"))
