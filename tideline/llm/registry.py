@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, ngram_join, packing, pieces, quality_rules, url_filter, vector_forest
+from . import kneser_ney, license_scan, line_dedup, ngram_join, packing, pieces, quality_rules, quote_links, url_filter, vector_forest
 
-MODULES = [quality_rules, vector_forest, license_scan, line_dedup, packing, url_filter, ngram_join, pieces]
+MODULES = [quality_rules, vector_forest, quote_links, kneser_ney, license_scan, line_dedup, packing, url_filter, ngram_join, pieces]
 
 
 def queries() -> dict:
