@@ -3,8 +3,8 @@
 1. Equal sets become one class. Chunks of documents send the first members of each set, in the order of their hashes, to
    the owner of each member. A set of n members with a partner has k = ceil(0.08 n) of its first 0.28 n members in the
    first members of another set (pigeonhole); sets that miss this bound have no partner and leave.
-2. What stays is ordered anew, the most frequent members last, and tied together by members of prefixes: two linked sets
-   share a member of their prefixes, so they lie in one cluster.
+2. What stays is ordered anew, rare members first, and tied together by members of prefixes: two linked sets share a
+   member of their prefixes, so they lie in one cluster.
 3. Each cluster is joined by a trie. Clusters of more than `block` sets are cut into blocks that share leaders; then the
    sets outside of the cluster's largest component are probed against every block. No pair list is made anywhere.
 """
@@ -25,8 +25,6 @@ from .prefix_tree import DEN, NUM, components, link
 WIDTH = 5
 #: Members in one chunk, and documents at most: the memory of a task's buffer.
 CHUNK_MEMBERS, CHUNK_DOCS = 2_000_000, 60_000
-#: Entries of the table of frequent members. It only orders members; links don't depend on it.
-FREQUENT = 65_536
 #: Sets in one trie.
 BLOCK = 2_000
 LEADERS = 4
@@ -197,71 +195,113 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def active_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(rep, n, members) of the class representatives that may have partners; members are packed, in the order of hashes."""
+    """(rep, chunk, members) of the class representatives that may have partners; members are packed, in the order of hashes.
+
+    A chunk is what one task has computed; it stays with the rows once they are written.
+    """
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("first", "second").agg(F.min("doc_id").alias("rep"), F.max("active").alias("active")).where("active")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps.select("rep", "first", "second"), "rep")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 s = shingles(r["text"], width)
                 if fingerprint(s) == (r["first"], r["second"]):  # ids that stand for several texts
-                    rows.append((r["rep"], len(s), s.tobytes()))
+                    rows.append((r["rep"], chunk, s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["rep", "n", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["rep", "chunk", "members"])
 
-    return texts.mapInArrow(compute, "rep long, n long, members binary")
+    return texts.mapInArrow(compute, "rep long, chunk long, members binary")
 
 
-def frequent_members(sets: DataFrame, top: int = FREQUENT) -> dict[int, int]:
-    """Counts of the members that most sets hold, `top` at most: a bounded table that decides only in what order members stand."""
+COUNTED = "key long, chunk long, rep long, members binary, counts binary"
+COUNTED_NAMES = [x.split()[0] for x in COUNTED.split(", ")]
+COUNTED_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            member, many = np.unique(np.concatenate([np.frombuffer(m, np.uint64) for m in batch.column(0).to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
-            keep = many > 2
-            yield pa.RecordBatch.from_arrays([pa.array(member[keep].view(np.int64)), pa.array(many[keep])], ["member", "many"])
 
-    counts = sets.select("members").mapInArrow(count, "member long, many long").groupBy("member").agg(F.sum("many").alias("many"))
-    return {r[0] & (2**64 - 1): r[1] for r in counts.orderBy(F.desc("many"), "member").limit(top).collect()}
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), COUNTED_TYPES)], COUNTED_NAMES)
+
 
+def cluster_edges(sets: DataFrame) -> DataFrame:
+    """Edges (src, dst) of a forest that ties sets whose prefixes share a member.
 
-def cluster_edges(sets: DataFrame, frequent: dict[int, int]) -> DataFrame:
-    """Edges (src, dst) of a forest that ties sets whose prefixes share a member."""
+    Chunks of sets ask the owner of each of their members how many sets hold it. A set of n needs ceil(0.8 n) members that
+    another holds too, else it leaves. The others stand rarest first, and of their prefixes the members that another set
+    holds tie them; what a set has for itself, or in a passage common to many, comes before or after.
+    """
     keys = 4 * partitions(sets.sparkSession)
-    often = np.array(sorted(frequent), np.uint64)
-    rank = np.array([frequent[m] for m in sorted(frequent)], np.int64)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for c, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(c, []).append(np.frombuffer(m, np.uint64))
+        for chunk in list(held):
+            members, many = np.unique(np.concatenate(held.pop(chunk)), return_counts=True)
+            cut = np.searchsorted(_by_owner(members, keys), np.arange(keys + 1))
+            packed, many = _five(members), many.astype("<u4")
+            rows = [(k, chunk, None, packed[cut[k] : cut[k + 1]].tobytes(), many[cut[k] : cut[k + 1]].tobytes()) for k in range(keys) if cut[k] < cut[k + 1]]
+            yield _counted(rows)
 
-        near = -1 - TaskContext.get().partitionId()
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list] = {}
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            for r in batch.to_pylist():
+                asked.setdefault(r["key"], []).append((r["chunk"], r["members"], r["counts"]))
+        for key in list(asked):
+            got = asked.pop(key)
+            _, where = np.unique(np.concatenate([_from_five(m) for _, m, _ in got]), return_inverse=True)
+            total = np.bincount(where, weights=np.concatenate([np.frombuffer(c, "<u4") for *_, c in got])).astype("<u4")[where]
+            cut = np.cumsum([0, *(len(c) // 4 for *_, c in got)])
+            yield _counted([(key, got[k][0], None, None, total[cut[k] : cut[k + 1]].tobytes()) for k in range(len(got))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held, counts = None, [], [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not ids:
+                return
+            members = np.unique(np.concatenate(held))
+            count = np.concatenate(counts)
             firsts = []
-            for m in batch.column(2).to_pylist():
-                s = np.frombuffer(m, np.uint64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    s = s[np.lexsort((s, np.where(often[at] == s, rank[at], 0)))]
-                firsts.append(s[: len(s) - least(len(s)) + 1])
-            members = np.concatenate(firsts or [np.zeros(0, np.uint64)])
+            for s in held:
+                c = count[np.searchsorted(members, s)]
+                p = np.zeros(0, np.uint64)
+                if np.count_nonzero(c > 1) >= least(len(s)):
+                    order = np.lexsort((s, c))[: len(s) - least(len(s)) + 1]
+                    p = s[order[c[order] > 1]]
+                firsts.append(p)
             doc = np.repeat(np.arange(len(ids)), [len(f) for f in firsts])
-            order = np.argsort(members, kind="stable")
-            members, doc = members[order], doc[order]
-            start, many = _runs(members)
-            head = np.repeat(doc[start], many)
-            label = components(len(ids), head, doc)
+            first, id_ = np.concatenate(firsts), np.array(ids, np.int64)
+            order = np.argsort(first, kind="stable")
+            first, doc = first[order], doc[order]
+            start, many = _runs(first)
+            label = components(len(ids), np.repeat(doc[start], many), doc)
             tied = np.flatnonzero(label != np.arange(len(ids)))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array([near]), pa.array([ids[tied].tobytes()], pa.binary()), pa.array([ids[label[tied]].tobytes()], pa.binary())], ["key", "members", "docs"])
-            members, one = members[start], ids[doc[start]]
-            cut = np.searchsorted(_by_owner(members, keys), np.arange(keys + 1))
-            packed = _five(members)
-            rows = [(k, packed[cut[k] : cut[k + 1]].tobytes(), one[cut[k] : cut[k + 1]].tobytes()) for k in range(keys) if cut[k] < cut[k + 1]]
+            rows = [(-1 - now, now, None, id_[tied].tobytes(), id_[label[tied]].tobytes())] if len(tied) else []
+            first, one = first[start], id_[doc[start]]
+            cut = np.searchsorted(_by_owner(first, keys), np.arange(keys + 1))
+            packed = _five(first)
+            rows += [(k, now, None, packed[cut[k] : cut[k + 1]].tobytes(), one[cut[k] : cut[k + 1]].tobytes()) for k in range(keys) if cut[k] < cut[k + 1]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["key", "members", "docs"])
+                yield _counted(rows)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["chunk"] != now:
+                    yield from flush()
+                    now, ids, held, counts = r["chunk"], [], [], []
+                if r["key"] < 0:
+                    ids.append(r["rep"])
+                    held.append(np.frombuffer(r["members"], np.uint64))
+                else:  # owners in the order of their keys: counts in the order of members
+                    counts.append(np.frombuffer(r["counts"], "<u4"))
+        yield from flush()
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, list] = {}
@@ -272,9 +312,9 @@ def cluster_edges(sets: DataFrame, frequent: dict[int, int]) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 if r["key"] < 0:
-                    yield out(np.frombuffer(r["members"], np.int64), np.frombuffer(r["docs"], np.int64))
+                    yield out(np.frombuffer(r["members"], np.int64), np.frombuffer(r["counts"], np.int64))
                 else:
-                    asked.setdefault(r["key"], []).append((r["members"], r["docs"]))
+                    asked.setdefault(r["key"], []).append((r["members"], r["counts"]))
         heads, tails = [], []
         for key in list(asked):
             got = asked.pop(key)
@@ -293,8 +333,11 @@ def cluster_edges(sets: DataFrame, frequent: dict[int, int]) -> DataFrame:
             tied = label != np.arange(len(nodes))
             yield out(nodes[tied], nodes[label[tied]])
 
-    sent = sets.select("rep", "n", "members").mapInArrow(send, "key long, members binary, docs binary")
-    return sent.repartition(keys // 4, "key").mapInArrow(tie, "src long, dst long")
+    asked = sets.select("chunk", "members").mapInArrow(ask, COUNTED).repartition(keys // 4, "key")
+    told = asked.mapInArrow(answer, COUNTED)
+    own = sets.select(F.lit(-1).cast("long").alias("key"), "chunk", "rep", "members", F.lit(None).cast("binary").alias("counts"))
+    both = own.unionByName(told).repartition(keys // 4, "chunk").sortWithinPartitions("chunk", "key")
+    return both.mapInArrow(send, COUNTED).repartition(keys // 4, "key").mapInArrow(tie, "src long, dst long")
 
 
 def _link_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -366,7 +409,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataF
     """
     sets = checkpointed(set_table(docs, width))
     active = checkpointed(active_sets(docs, sets, width))
-    clusters = connected_components(cluster_edges(active, frequent_members(active)))
+    clusters = connected_components(cluster_edges(active))
     linked = join_clusters(active, clusters, block)
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("first", "second").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many")
