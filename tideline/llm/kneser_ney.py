@@ -1,9 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
 A text is the sequence of its words, a word the sequence of its characters between a start and an end mark. Texts are
-packed into bags of words by units of documents; units send each n-gram that they hold once to the shard that owns it,
-where it meets the model's counts by joins, and the answers go back to the units, which score every word once and every
-document by its bag. A document passes if its perplexity is within its language's quantile among trusted documents.
+packed into bags of words by units of documents. Trusted units give counts, and joins of their shards level by level give
+each seen n-gram its probability. Units send each n-gram that they hold once to the shard that owns it; what the model has
+not seen backs off by joins with shorter ones, and the answers go back to the units, which score every word once and
+every document by its bag. A document passes if its perplexity is within its language's quantile among trusted ones.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -44,9 +45,39 @@ def grams(word: str, order: int) -> list[str]:
     return [s[max(0, i - order) : i] for i in range(2, len(s) + 1)]
 
 
-UNIT = "unit long, range long, kind int, gram string, value double, ids array<long>, langs array<string>, sizes array<int>, words binary, places binary, counts binary"
+UNIT = "unit long, range long, kind int, owner int, ids array<long>, langs array<string>, sizes array<int>, words binary, places binary, counts binary, grams binary, cuts array<int>"
 UNIT_NAMES = [x.split()[0] for x in UNIT.split(", ")]
-UNIT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+UNIT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.list_(pa.int32())]
+#: Parts two n-grams in a packed list: a word holds no tab.
+TAB = "\t"
+
+
+def _pack(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _grams(data: bytes) -> list[str]:
+    """A packed list of n-grams."""
+    import zstandard
+
+    text = zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
+    return text.split(TAB) if text else []
+
+
+def _packed(found: list[str]) -> bytes:
+    return _pack(TAB.join(found).encode("utf-8", "surrogatepass"))
+
+
+def _owned(found: set[str], owners: int) -> tuple[list[str], list[int]]:
+    """N-grams in the order of their owners, and where each owner's begin and end."""
+    from zlib import crc32
+
+    by: list[list[str]] = [[] for _ in range(owners)]
+    for g in found:
+        by[crc32(g.encode("utf-8", "surrogatepass")) % owners].append(g)
+    return [g for x in by for g in sorted(x)], np.cumsum([0, *map(len, by)]).tolist()
 
 
 class _Unit:
@@ -69,15 +100,12 @@ class _Unit:
         self.counts.append(np.fromiter(bag.values(), np.int32, n))
         return n
 
-    def row(self, unit: int, range_: int | None) -> tuple:
+    def row(self, unit: int, range_: int | None, order: int, owners: int) -> tuple:
         """Packed: frequent words have small numbers, and a bag is the sorted steps between them."""
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
         often = np.bincount(np.concatenate(self.places), minlength=len(self.vocabulary)) if self.vocabulary else np.zeros(0, np.int64)
-        order = np.argsort(-often, kind="stable")
-        number = np.empty(len(order), np.int32)
-        number[order] = np.arange(len(order), dtype=np.int32)
+        rank = np.argsort(-often, kind="stable")
+        number = np.empty(len(rank), np.int32)
+        number[rank] = np.arange(len(rank), dtype=np.int32)
         words = list(self.vocabulary)
         places, counts = [], []
         for p, c in zip(self.places, self.counts):
@@ -85,8 +113,12 @@ class _Unit:
             by = np.argsort(p)
             places.append(np.diff(p[by], prepend=np.int32(0)))
             counts.append(c[by])
-        flat = lambda x: pack(np.concatenate(x).astype("<i4").tobytes() if x else b"")
-        return unit, range_, 1, None, None, self.ids, self.langs, [len(p) for p in places], pack(" ".join(words[i] for i in order.tolist()).encode("utf-8", "surrogatepass")), flat(places), flat(counts)
+        found: set[str] = set()
+        for w in words:
+            found.update(grams(w, order))
+        listed, cuts = _owned(found, owners)
+        flat = lambda x: _pack(np.concatenate(x).astype("<i4").tobytes() if x else b"")
+        return unit, range_, 1, None, self.ids, self.langs, [len(p) for p in places], _pack(" ".join(words[i] for i in rank.tolist()).encode("utf-8", "surrogatepass")), flat(places), flat(counts), _packed(listed), cuts
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -112,8 +144,8 @@ def _unpack(row: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     return words, total, counts, ends
 
 
-def word_bags(docs: DataFrame) -> DataFrame:
-    """Units of documents whose ids lie in one range, as packed bags of words."""
+def word_bags(docs: DataFrame, order: int, owners: int) -> DataFrame:
+    """Units of documents whose ids lie in one range, as packed bags of words, with the n-grams that they hold."""
     small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
@@ -130,11 +162,11 @@ def word_bags(docs: DataFrame) -> DataFrame:
                 entries += open_.setdefault(at, _Unit()).add(i, g, t)
                 if entries >= OPEN_ENTRIES or len(open_[at].ids) >= 2 * RANGE:
                     for r, u in open_.items():
-                        yield _batch([u.row(number, r)])
+                        yield _batch([u.row(number, r, order, owners)])
                         number += 1
                     open_, entries = {}, 0
         for r, u in open_.items():
-            yield _batch([u.row(number, r)])
+            yield _batch([u.row(number, r, order, owners)])
             number += 1
 
     return slim.mapInArrow(pack, UNIT)
@@ -162,97 +194,137 @@ def trusted_counts(bags: DataFrame, trusted: DataFrame, order: int) -> DataFrame
     return bags.join(marks, "range").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def model_tables(counts: DataFrame, order: int) -> tuple[DataFrame, float, float]:
-    """((key, a, g), mass of the empty history, uniform probability): a is a gram's discounted share of its history,
-    g what a history leaves to shorter ones. p(gram) = a + g * p(gram without its first character)."""
-    level = counts.where(F.length("gram") == order).withColumn("k", F.lit(order))
-    tables = [level]
+def model_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, float]:
+    """((gram, value) of seen n-grams, (h, left) of their histories, probability of an unseen character).
+
+    value is the interpolated probability of the last character: the discounted share of the gram in its history, and what
+    the history leaves times the value of the gram without its first character. Levels are joined from the shortest up.
+    """
+    tables = [counts.where(F.length("gram") == order).select("gram", "c")]
     for k in range(order - 1, 0, -1):  # below the order, grams count the characters seen before them, or themselves after a start mark
-        seen = level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
-        level = seen.unionByName(counts.where(F.length("gram") == k)).withColumn("k", F.lit(k))
-        tables.append(level)
-    grams_ = tables[0]
-    for t in tables[1:]:
-        grams_ = grams_.unionByName(t)
-    grams_ = checkpointed(grams_.select("gram", "k", "c"))
-    discounts: dict[int, list[float]] = {k: [0.5, 1.0, 1.5] for k in range(1, order + 1)}
-    v = 0
-    for r in grams_.groupBy("k").agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)), F.count("*").alias("n")).collect():  # one row for each length
-        n = [0, *(r[f"n{i}"] for i in range(1, 5))]
-        if all(n[1:]):
-            y = n[1] / (n[1] + 2 * n[2])
-            discounts[r["k"]] = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), float(i)) for i in (1, 2, 3)]
-        if r["k"] == 1:
-            v = r["n"]
-
-    def of(i: int) -> Column:
-        return F.element_at(F.array(*(F.lit(discounts[k][i - 1]) for k in range(1, order + 1))), F.col("k"))
-
-    discount = F.when(F.col("c") == 1, of(1)).when(F.col("c") == 2, of(2)).otherwise(of(3))
-    history = F.expr("left(gram, k - 1)")
-    own = grams_.withColumn("h", history).withColumn("d", F.least(discount, F.col("c")))
-    sums = own.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-    a = own.join(sums, "h").select(F.col("gram").alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("a"), F.lit(None).cast("double").alias("g"))
-    g = sums.where("h <> ''").select(F.col("h").alias("key"), F.lit(None).cast("double").alias("a"), (F.col("left") / F.col("total")).alias("g"))
-    top = sums.where("h = ''").select((F.col("left") / F.col("total")).alias("g")).first()
-    return a.unionByName(g).groupBy("key").agg(F.max("a").alias("a"), F.max("g").alias("g")), (top[0] if top else 1.0), 1.0 / (v + 1)
-
-
-def gram_scores(asked: DataFrame, model: DataFrame, base: float, uniform: float, order: int) -> DataFrame:
-    """(gram, value): natural logarithm of the probability of each gram's last character."""
-    keys = F.expr(f"filter(flatten(transform(sequence(1, {order}), k -> array(named_struct('k', k, 'h', false, 'key', right(gram, k)), named_struct('k', k, 'h', true, 'key', left(right(gram, k), k - 1))))), x -> x.k <= length(gram) AND x.key <> '')")
-    parts = asked.select("gram", F.explode(keys).alias("x")).select("gram", "x.*").join(model, "key")
-    pick = [F.coalesce(F.max(F.when((F.col("k") == k) & ~F.col("h"), F.col("a"))), F.lit(0.0)).alias(f"a{k}") for k in range(1, order + 1)]
-    pick += [F.coalesce(F.max(F.when((F.col("k") == k) & F.col("h"), F.col("g"))), F.lit(1.0)).alias(f"g{k}") for k in range(2, order + 1)]
-    p = F.col("a1") + F.lit(base * uniform)
-    for k in range(2, order + 1):
-        p = F.col(f"a{k}") + F.col(f"g{k}") * p
-    return asked.join(parts.groupBy("gram").agg(*pick), "gram", "left").select("gram", F.coalesce(F.log(p), F.lit(float(np.log(base * uniform)))).alias("value"))
+        seen = tables[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
+        tables.append(checkpointed(seen.unionByName(counts.where(F.length("gram") == k).select("gram", "c"))))
+    values: DataFrame | None = None
+    histories: DataFrame | None = None
+    below: DataFrame | None = None
+    unseen = 1.0
+    for k, level in zip(range(1, order + 1), reversed(tables)):
+        n = level.agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(1, 5)), F.count("*").alias("n")).first()
+        d = [0.5, 1.0, 1.5]
+        if all(n[f"n{i}"] for i in range(1, 5)):
+            y = n["n1"] / (n["n1"] + 2 * n["n2"])
+            d = [min(max(i - (i + 1) * y * n[f"n{i + 1}"] / n[f"n{i}"], 0.0), float(i)) for i in (1, 2, 3)]
+        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        own = level.select("gram", "c", F.expr(f"left(gram, {k - 1})").alias("h"), F.least(off, F.col("c")).alias("d"))
+        sums = own.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("d")).select("h", "total", (F.col("d") / F.col("total")).alias("left"))
+        if k == 1:
+            top = sums.first()  # one history, the empty one
+            uniform = 1.0 / (n["n"] + 1)
+            unseen = top["left"] * uniform if top else uniform
+            now = own.select("gram", ((F.col("c") - F.col("d")) / F.lit(top["total"] if top else 1) + F.lit(unseen)).alias("value"))
+        else:
+            both = own.join(sums, "h").withColumn("s", F.expr("substring(gram, 2)")).join(below.withColumnsRenamed({"gram": "s", "value": "v"}), "s")
+            now = both.select("gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("left") * F.col("v")).alias("value"))
+            sums = checkpointed(sums.select("h", "left"))
+            histories = sums if histories is None else histories.unionByName(sums)
+        below = checkpointed(now)
+        values = below if values is None else values.unionByName(below)
+    return values, histories, unseen
+
+
+def backed_off(asked: DataFrame, values: DataFrame, histories: DataFrame, unseen: float, order: int) -> DataFrame:
+    """(gram, value) of distinct n-grams: seen ones have theirs; others take that of the gram without its first
+    character, times what their history leaves if it was seen. Only what was not seen goes on to the next level."""
+    found = checkpointed(asked.join(values, "gram", "left"))
+    seen, rest = found.where("value IS NOT NULL"), found.where("value IS NULL").select("gram")
+    single = rest.where("length(gram) <= 1").select("gram", F.lit(unseen).alias("value"))
+    if order == 1:
+        return seen.unionByName(single)
+    longer = rest.where("length(gram) > 1").select("gram", F.expr("substring(gram, 2)").alias("s"), F.expr("left(gram, length(gram) - 1)").alias("h"))
+    below = backed_off(longer.select(F.col("s").alias("gram")).distinct(), values, histories, unseen, order - 1)
+    both = longer.join(below.withColumnsRenamed({"gram": "s", "value": "v"}), "s").join(histories, "h", "left")
+    return seen.unionByName(single).unionByName(both.select("gram", (F.coalesce("left", F.lit(1.0)) * F.col("v")).alias("value")))
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
     """(doc_id, lang, n_words, log_ppl) of each row: natural logarithm of the perplexity for a character; null without words."""
-    order = params.order
-    bags = checkpointed(word_bags(docs))
+    order, owners = params.order, partitions(docs.sparkSession)
+    bags = checkpointed(word_bags(docs, order, owners))
     counts = checkpointed(trusted_counts(bags, trusted.select("doc_id").distinct(), order))
-    model, base, uniform = model_tables(counts, order)
+    values, histories, unseen = model_tables(counts, order)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                found: set[str] = set()
-                for w in _unpack(r)[0]:
-                    found.update(grams(w, order))
-                yield pa.RecordBatch.from_arrays([pa.array([r["unit"]] * len(found), pa.int64()), pa.array(list(found), pa.string())], ["unit", "gram"])
+                listed, cuts = _grams(r["grams"]), r["cuts"]
+                at = [k for k in range(owners) if cuts[k] < cuts[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r["unit"]] * len(at), pa.int64()), pa.array([_packed(listed[cuts[k] : cuts[k + 1]]) for k in at], pa.binary())], ["owner", "unit", "grams"])
 
-    requests = bags.mapInArrow(ask, "unit long, gram string")
-    scored = checkpointed(gram_scores(requests.select("gram").distinct(), model, base, uniform, order))
-    answers = requests.join(scored, "gram").select("unit", F.lit(None).cast("long").alias("range"), F.lit(0).alias("kind"), "gram", "value", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in UNIT.split(", ")[5:])))
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, set[str]] = {}
+        for batch in batches:
+            for owner, grams_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                found.setdefault(owner, set()).update(_grams(grams_))
+        for owner in list(found):
+            mine = found.pop(owner)
+            yield pa.RecordBatch.from_arrays([pa.array([owner] * len(mine), pa.int32()), pa.array(list(mine), pa.string())], ["owner", "gram"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asking() -> DataFrame:
+        return bags.select("unit", "grams", "cuts").mapInArrow(ask, "owner int, unit long, grams binary")
+
+    named = asking().repartition(owners, "owner").mapInArrow(distinct, "owner int, gram string")
+    scored = checkpointed(backed_off(named.select("gram"), values, histories, unseen, order))
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
+        for batch in batches:
+            names, logs = batch.column(0).to_pylist(), np.log(np.array(batch.column(1).to_pylist(), np.float64))
+            by: dict[int, list[int]] = {}
+            for i, g in enumerate(names):
+                by.setdefault(crc32(g.encode("utf-8", "surrogatepass")) % owners, []).append(i)
+            at = list(by)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([None] * len(at), pa.int64()), pa.array([_packed([names[i] for i in by[k]]) for k in at], pa.binary()), pa.array([logs[by[k]].tobytes() for k in at], pa.binary())], ["owner", "unit", "grams", "logs"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An owner's values come first, then the units that ask; answers stand in the order of the questions."""
         now, value = None, {}
         for batch in batches:
-            units = batch.column(0).to_pylist()
-            kinds = batch.column(2).to_pylist()
-            names, values = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for k, unit in enumerate(units):
-                if unit != now:
-                    now, value = unit, {}
-                if kinds[k] == 0:
-                    value[names[k]] = values[k]
+            out = []
+            for r in batch.to_pylist():
+                if r["owner"] != now:
+                    now, value = r["owner"], {}
+                if r["unit"] is None:
+                    value.update(zip(_grams(r["grams"]), np.frombuffer(r["logs"]).tolist()))
+                else:
+                    out.append((r["unit"], now, np.fromiter(map(value.__getitem__, _grams(r["grams"])), np.float64).tobytes()))
+            if out:
+                rows = [(u, None, 0, o, None, None, None, None, None, None, logs, None) for u, o, logs in out]
+                yield _batch(rows)
+
+    both = scored.mapInArrow(shard, "owner int, unit long, grams binary, logs binary").unionByName(asking().withColumn("logs", F.lit(None).cast("binary")))
+    answers = both.repartition(owners, "owner").sortWithinPartitions(F.col("owner"), F.col("unit").asc_nulls_first()).mapInArrow(answer, UNIT)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, logs = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["unit"] != now:
+                    now, logs = r["unit"], []
+                if r["kind"] == 0:  # owners in their order
+                    logs.append(np.frombuffer(r["grams"]))
                     continue
-                r = batch.slice(k, 1).to_pylist()[0]
                 words, place, many, ends = _unpack(r)
-                get = value.__getitem__
+                get = dict(zip(_grams(r["grams"]), np.concatenate(logs).tolist() if logs else [])).__getitem__
                 of_word = np.fromiter((sum(map(get, grams(w, order))) for w in words), np.float64, len(words)) if ends[-1] else np.zeros(0)
                 size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
                 at = np.concatenate(([0], ends))
                 total = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[at])  # noqa: E731, B023
-                n, chars, logs = total(many), total(size[place] * many), total(of_word[place] * many) if len(place) else np.zeros(len(ends))
-                ppl = [None if not c else float(-s / c) for s, c in zip(logs, chars)]
+                n, chars, sums = total(many), total(size[place] * many), total(of_word[place] * many) if len(place) else np.zeros(len(ends))
+                ppl = [None if not c else float(-s / c) for s, c in zip(sums, chars)]
                 yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), pa.array(n.astype(np.int64)), pa.array(ppl, pa.float64())], ["doc_id", "lang", "n_words", "log_ppl"])
 
-    dealt = bags.unionByName(answers).repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit", "kind")
+    dealt = bags.unionByName(answers).repartition(owners, "unit").sortWithinPartitions("unit", "kind", "owner")
     return dealt.mapInArrow(score, "doc_id long, lang string, n_words long, log_ppl double")
 
 
