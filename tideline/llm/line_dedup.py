@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import table
+from .common import checkpointed, table
 
 #: A repeated run counts from so many characters. Every line in a run has one at least, which bounds the doubling.
 MIN_CHARS = 50
@@ -35,7 +35,7 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = lines.select("doc_id", "th", "pos", F.xxhash64("line.x", F.length("line.x")).alias("h"), F.length("line.x").cast("long").alias("chars"))
     place = F.struct("doc_id", "th", "pos")
     often = lines.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    kept = lines.join(often, "h").distinct()
+    kept = lines.join(checkpointed(often), "h").distinct()  # written first, so that both sides of the join are shuffles, which can be split where a line is hot
     # lines without a repeated one between them form a segment; only in one can runs repeat
     kept = kept.withColumn("seg", F.col("pos") - F.row_number().over(W.Window.partitionBy("doc_id", "th").orderBy("pos")))
     w = W.Window.partitionBy("doc_id", "th", "seg").orderBy("pos")
@@ -50,8 +50,9 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     level = F.floor(F.log2("lines") + 1e-9).cast("int")
     name = F.xxhash64("lines", F.get(F.array(*(f"n{k}" for k in range(depth + 1))), level), F.get("last", level))
     runs = now.where(F.col("reach") >= min_chars).select("doc_id", "th", "pos", F.col("lines").cast("int").alias("lines"), name.alias("name"))
+    runs = checkpointed(runs)
     first = runs.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").select("name", "first")
-    return runs.join(first, "name").where(place > F.col("first")).select("doc_id", "th", "pos", "lines")
+    return runs.join(checkpointed(first), "name").where(place > F.col("first")).select("doc_id", "th", "pos", "lines")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -413,6 +413,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataF
     linked = join_clusters(active, clusters, block)
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("first", "second").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many")
+    reps = checkpointed(reps)  # written first, so that both sides of the join are shuffles, which can be split where a class is hot
     tied = sets.join(reps, (sets["first"] == reps["first"]) & (sets["second"] == reps["second"]) & (sets["n"] > 0), "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     out = tied.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
