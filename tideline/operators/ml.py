@@ -92,7 +92,8 @@ def fit(df: DataFrame, name: str, features: Sequence[str], target: str = "target
     elif name == "forest":
         est = RandomForestClassifier(**common, numTrees=params.get("trees", 300), maxDepth=params.get("depth", 8), minInstancesPerNode=params.get("leaf", 10), featureSubsetStrategy="sqrt", seed=seed)
     elif name == "boosting":
-        est = GBTClassifier(**common, maxIter=params.get("rounds", 50), maxDepth=params.get("depth", 3), stepSize=params.get("rate", 0.05), seed=seed)
+        est = GBTClassifier(featuresCol="__x", labelCol="__y", predictionCol="__c", maxIter=params.get("rounds", 50), maxDepth=params.get("depth", 3), stepSize=params.get("rate", 0.05), seed=seed)
+        est.setProbabilityCol("__p").setRawPredictionCol("__r")
     else:
         raise ValueError(f"unknown model {name}")
     ready = ready.cache()
