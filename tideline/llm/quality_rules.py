@@ -171,5 +171,33 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), cleaned=False)
 
 
+def _oracle(r: Rules = Rules()) -> str:
+    """The rules in SQL, line by line; letters by their Unicode class."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    words = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+    phrase = " OR ".join(f"contains(low, {q(p)})" for p in BOILERPLATE)
+    nav = ", ".join(q(w) for w in sorted(NAV_WORDS))
+    ends = " OR ".join(f"ends_with(s, {q(t)})" for t in TERMINAL)
+    return f"""
+WITH lines AS (SELECT doc_id, i, x, trim(regexp_replace(x, '\\s', ' ', 'g')) AS s, regexp_matches(x, '[^\\x20\\x09-\\x0D]') AS has_word FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+m AS (SELECT *, lower(s) AS low, length(s) - length(replace(s, ' ', '')) AS blanks, length(s) AS chars, list_filter(string_split(s, ' '), lambda w: w <> '') AS ws, has_word AND row_number() OVER (PARTITION BY doc_id, x ORDER BY i) > 1 AS again FROM lines),
+f AS (SELECT *, again OR (s <> '' AND ({phrase}
+    OR (len(regexp_extract_all(s, '[|»›·•→]|\\s[-–/>]\\s|::')) >= {r.min_separators} AND len(ws) <= {6 * r.min_separators})
+    OR (len(ws) <= 8 AND len(list_filter(ws, lambda w: trim(w, '|»›·•→-–/>,:') <> '' AND lower(trim(w, '|»›·•→-–/>,:')) NOT IN ({nav}))) = 0)
+    OR len(regexp_extract_all(s, '[#*$%&|<>{{}}\\[\\]=~^_\\\\@+]')) > CAST({r.max_symbol_share} AS DOUBLE) * (chars - blanks)
+    OR (len(ws) >= 4 AND len(regexp_extract_all(s, '\\p{{Lu}}')) > CAST({r.max_upper_share} AS DOUBLE) * (len(regexp_extract_all(s, '\\p{{Lu}}')) + len(regexp_extract_all(s, '\\p{{Ll}}'))))
+    OR (len(regexp_extract_all(s, '\\p{{Nd}}')) > CAST({r.max_digit_share} AS DOUBLE) * (chars - blanks) AND len(ws) >= 3)
+    OR (len(ws) >= 4 AND len(regexp_extract_all(s, '[!?]')) > CAST({r.max_shout_share} AS DOUBLE) * len(ws))
+    OR (NOT ({ends}) AND len(ws) < {r.unfinished_words}))) AS bad FROM m),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(length(x) - (length(x) - length(replace(x, ' ', '')))) FILTER (bad), 0) AS lost FROM f GROUP BY 1),
+w AS (SELECT doc_id, {words.format("text")} AS ws, text FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS gram FROM w),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1) GROUP BY 1),
+b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, l.n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words, l.n_lines, l.n_bad_lines, l.lost FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+v AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_pct} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= CAST({r.max_lost_share} AS DOUBLE) * word_chars AS kept, n_lines, n_bad_lines FROM v"""
+
+
 QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality_rules": _oracle()}
