@@ -81,3 +81,16 @@ def test_without_quotes_the_order_is_that_of_turns(spark):
     text = {(r.conv_id, r.turn): r.text for r in df.collect()}
     got = link_quotes(df).collect()
     assert len(got) == len(text) and all(r.position == r.turn and r.text == text[r.conv_id, r.turn] for r in got)
+
+
+def test_sql_gives_the_same(spark, tmp_path):
+    import duckdb
+
+    from tideline.llm.quote_links import ORACLES, op3_quote_links
+
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in MAIL], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    df = op3_quote_links(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['op3_quote_links']})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)

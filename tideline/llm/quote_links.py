@@ -112,5 +112,29 @@ def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "role", "parent_turn", "root_turn", "position", "n_quoted", "n_linked", F.md5("text").alias("text_md5"))
 
 
+def _oracle() -> str:
+    """The same from lines, islands of lines, pairs of passages and chains of replies."""
+    marks = r"'^(?:[ \t]*>)+'"
+    normal = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return rf"""
+WITH RECURSIVE l AS (
+  SELECT conv_id, turn, i, x, length(regexp_extract(x, {marks})) - length(replace(regexp_extract(x, {marks}), '>', '')) AS level, regexp_matches(x, '{INTRODUCES}') AS intro
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
+b AS (SELECT *, CASE WHEN level > 0 THEN regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', '') ELSE x END AS body FROM l WHERE NOT intro),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS island FROM b WHERE trim(body, ' ' || chr(9)) <> ''),
+u AS (SELECT DISTINCT * FROM (
+  SELECT conv_id, turn, level, {normal.format("string_agg(body, ' ' ORDER BY i)")} AS p FROM o GROUP BY conv_id, turn, level, island
+  UNION ALL SELECT conv_id, turn, level, {normal.format("body")} FROM o) WHERE length(p) >= {MIN_CHARS}),
+s AS (SELECT q.conv_id, q.turn, q.level, q.p, max(a.turn) AS source FROM u q JOIN u a ON a.conv_id = q.conv_id AND a.p = q.p AND a.level = 0 AND a.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+v AS (SELECT conv_id, turn, level, source, sum(length(p)) AS chars, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT conv_id, turn, source AS parent_turn, n_linked FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, source DESC) AS k FROM v) WHERE k = 1),
+r AS (SELECT conv_id, turn, parent_turn AS above FROM p UNION SELECT r.conv_id, r.turn, p.parent_turn FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.above),
+q AS (SELECT conv_id, turn, count(*) FILTER (level > 0) AS n_quoted, string_agg(x, chr(10) ORDER BY i) FILTER (level = 0 AND NOT intro) AS own FROM l GROUP BY 1, 2),
+t AS (SELECT c.conv_id, c.turn, c.role, p.parent_turn, coalesce(root.root_turn, c.turn) AS root_turn, coalesce(q.n_quoted, 0) AS n_quoted, CAST(coalesce(p.n_linked, 0) AS BIGINT) AS n_linked,
+  CASE WHEN q.n_quoted > 0 THEN regexp_replace(regexp_replace(coalesce(q.own, ''), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g'), '\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g') ELSE c.text END AS text
+  FROM conversations c LEFT JOIN q USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn, min(above) AS root_turn FROM r GROUP BY 1, 2) root USING (conv_id, turn))
+SELECT conv_id, turn, role, parent_turn, root_turn, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn, turn, role, text) - 1 AS position, n_quoted, n_linked, md5(text) AS text_md5 FROM t"""
+
+
 QUERIES = {"op3_quote_links": op3_quote_links}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_quote_links": _oracle()}
