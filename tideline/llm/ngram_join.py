@@ -26,7 +26,7 @@ WIDTH = 5
 #: Members in one chunk, and documents at most: the memory of a task's buffer.
 CHUNK_MEMBERS, CHUNK_DOCS = 2_000_000, 60_000
 #: Sets in one trie.
-BLOCK = 2_000
+BLOCK = 512
 LEADERS = 4
 NOBODY = 0xFFFF
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
