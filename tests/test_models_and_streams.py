@@ -37,6 +37,17 @@ def test_models_learn(frame):
     assert dummy.select("probability").distinct().count() == 1
 
 
+def test_models_are_saved_once(frame, tmp_path):
+    for name in ("dummy", "logistic", "boosting"):
+        model = ml.fit(frame, name, ["x", "z"], rounds=2)
+        model.save(f"{tmp_path}/{name}")
+        again = ml.Fitted.load(f"{tmp_path}/{name}")
+        rows = lambda m: sorted(map(tuple, m.predict(frame).select("ticker", "date", "probability").collect()))  # noqa: E731, B023
+        assert rows(model) == rows(again)
+        with pytest.raises(Exception, match="(?i)exist"):
+            model.save(f"{tmp_path}/{name}")
+
+
 def test_logistic_solves_the_penalised_problem(spark, frame):
     model = ml.fit(frame, "logistic", ["x"], c=1.0)
     prep = model.preparation

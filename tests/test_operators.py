@@ -302,3 +302,34 @@ def test_feed_must_be_readable(spark):
     assert [(r.title, r.relevance_score) for r in readers.flatten_feed(df, "j", "t").collect()] == [("t", "0.5"), ("u", None)]
     with pytest.raises(PySparkException):
         readers.flatten_feed(spark.createDataFrame([('{"Note":"slow down"}', "A")], "j string, t string"), "j", "t").collect()
+
+
+def test_feed_source_retries(spark):
+    from tideline.sources import feed
+
+    waits, answers = [], [(429, ""), (200, '{"Note": "slow down"}'), (200, '{"feed": []}')]
+    assert feed.retried(lambda: answers.pop(0), wait=waits.append) == [] and waits == [1.0, 2.0]
+    with pytest.raises(feed.TransientError):
+        feed.retried(lambda: (503, ""), wait=lambda _: None)
+    for body in ("{", '{"feed": 1}', "[]"):
+        with pytest.raises(feed.MalformedAnswer):
+            feed.retried(lambda: (200, body), wait=lambda _: None)  # noqa: B023
+    ranges = feed.planned("A", date(2024, 1, 1), date(2024, 1, 31), lambda r: 100 * ((r.end - r.start).days + 1))
+    df = feed.read_feed(spark, "tests.fake_feed:fetch", ranges)
+    assert df.rdd.getNumPartitions() == len(ranges) > 1
+    rows = readers.flatten_feed(df, "json", "ticker").collect()
+    assert {r.title for r in rows} == {f"A {a}" for _, a, _ in ranges} and {r.relevance_score for r in rows} == {"0.5"}
+
+
+def test_scans_are_pruned_and_filters_pushed(spark):
+    from tideline.plans import registry
+
+    def plan(name):
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+    scan = plan("date_range_filter")
+    assert "PushedFilters: [IsNotNull(" in scan and "o_totalprice" not in scan.split("ReadSchema", 1)[1].split("\n", 1)[0]
+    assert "BroadcastHashJoin" in plan("asof_forward")
+    for name in ("daily_agg", "metrics_grouping_sets", "threshold_opt", "delta_compare"):
+        assert "CartesianProduct" not in plan(name) and plan(name).count("Exchange ") <= 6

@@ -5,16 +5,17 @@ Boosted trees of other libraries have no counterpart here; `GBTClassifier` stand
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import best_threshold, roc_auc
@@ -66,6 +67,23 @@ class Fitted:
             out = out.select("__keep.*", vector_to_array("__p")[1].alias("probability"))
         return out.withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
 
+    def save(self, path: str) -> None:
+        """Write the model and what it was prepared with; an existing path is refused."""
+        spark = SparkSession.getActiveSession()
+        prep = {} if self.preparation is None else {"features": self.preparation.features, "medians": self.preparation.medians, "means": self.preparation.means, "spreads": self.preparation.spreads}
+        about = json.dumps({"name": self.name, "constant": self.constant, "preparation": prep})
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/about")
+        if self.model is not None:
+            self.model.write().save(f"{path}/model")
+
+    @staticmethod
+    def load(path: str) -> Fitted:
+        about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about").first()[0])
+        kinds = {"logistic": LogisticRegressionModel, "forest": RandomForestClassificationModel, "boosting": GBTClassificationModel}
+        prep = Preparation(**about["preparation"]) if about["preparation"] else None
+        model = kinds[about["name"]].load(f"{path}/model") if about["name"] in kinds else None
+        return Fitted(about["name"], prep, model, about["constant"])
+
     def importance(self) -> dict[str, float]:
         """Impurity importance, or the size of coefficients."""
         if self.model is None:
