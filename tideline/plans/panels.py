@@ -147,8 +147,8 @@ def flagship(spark, sf):
     return w.next_label(w.moving_averages(sessions(spark, sf), "px"), "px").select("*")
 
 
-@query("feature_schema", "variant s, position i, feature s")
-def _feature_schema(spark, sf):
+@query("ablation_schema", "variant s, position i, feature s")
+def _ablation_schema(spark, sf):
     """Schemas of the ablation variants of one feature family, in order."""
     from ..operators.reshape import feature_subset
 
