@@ -218,6 +218,10 @@ def test_bootstrap(spark):
     assert {r.ticker for r in out} == {"A", "B", "macro"} and all(r.delta == r.low == r.high == 0.0 for r in out)
     weights = metrics.block_weights(60, 20, 100)
     assert (weights.sum(1) == 60).all() and (metrics.block_weights(60, 20, 100) == weights).all()
+    rng = np.random.default_rng(42)
+    for row in weights:  # the same draws as one replicate after the other
+        starts = rng.integers(0, 41, size=3)
+        assert (np.bincount(np.concatenate([np.arange(s, s + 20) for s in starts])[:60], minlength=60) == row).all()
     for bad in ((10, 10, 100), (10, 5, 50)):
         with pytest.raises(ValueError):
             metrics.block_weights(*bad)
@@ -333,3 +337,42 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "BroadcastHashJoin" in plan("asof_forward")
     for name in ("daily_agg", "metrics_grouping_sets", "threshold_opt", "delta_compare"):
         assert "CartesianProduct" not in plan(name) and plan(name).count("Exchange ") <= 6
+
+
+def test_news_domain(spark):
+    import hashlib
+
+    from tideline.plans import domain
+
+    rows = []
+    for x in domain.TICKERS:
+        for year in (2020, 2024):
+            for k in range(5):
+                n = len(rows)
+                rows.append((x, f"{domain.ALIASES[x][0]} item {n}", f"Summary {n}. {domain.ALIASES[x][0]} rose in the end.", f"text {n}", f"https://a.test/{n}", datetime(year, 1, 1 + k, 12)))
+    rows[1] = (*rows[1][:4], rows[0][4].upper().replace("A.TEST", "a.test").lower(), rows[1][5])
+    rows[10] = (rows[10][0], rows[1][1].upper(), *rows[10][2:])
+    schema = "ticker string, title string, summary string, text string, url string, published_at timestamp"
+    df = spark.createDataFrame([*rows, ("XYZ", "t", "s", "x", "u", datetime(2024, 1, 1))], schema)
+    got = {r.text: r for r in domain.prepare_news(df).collect()}
+    assert len(got) == 40
+    one = {got[f"text {i}"].group_id for i in (0, 1, 10)}
+    assert len(one) == 1 and len({r.group_id for r in got.values()}) == 38
+    keys = [f"url:{r[4]}" for r in (rows[0], rows[1], rows[10])] + [f"title:{r[1].lower()}" for r in (rows[0], rows[1], rows[10])] + [f"text:{r[3]}" for r in (rows[0], rows[1], rows[10])]
+    assert one == {hashlib.sha256(min(keys).encode()).hexdigest()}
+    r = got["text 3"]
+    want = "\x1f".join([r.ticker, "2020-01-04T12:00:00+00:00", r.url, r.title, r.text])
+    assert r.news_id == hashlib.sha256(want.encode()).hexdigest()
+    assert got["text 0"].multi_company and not got["text 3"].multi_company and got["text 10"].partition == "development"
+    assert r.context == "Apple item 3 Apple rose in the end."
+    sample = domain.sample_news(domain.prepare_news(df), per_cell=2).collect()
+    assert len(sample) == 16 and len({x.group_id for x in sample}) == 16
+    with pytest.raises(ValueError):
+        domain.sample_news(domain.prepare_news(df), per_cell=6)
+    more = spark.createDataFrame(
+        [("AAPL", "FIAX ETF Stock Price & Overview Apple", "", "x", "https://a.test/n", datetime(2024, 1, 1)), ("AAPL", "IWY ETF Holdings List", "Apple.", "x", "https://a.test/n", datetime(2024, 1, 1)), ("AAPL", "Apple", "", "x", "https://a.test/quote/AAPL", datetime(2024, 1, 1)), ("AAPL", "Apple stock price falls after results", "", "x", "https://a.test/n", datetime(2024, 1, 1)), ("AAPL", "Apple", "", " ", "u", datetime(2024, 1, 1)), ("AAPL", "Apple", "", "x", "u", datetime(2020, 1, 1))],
+        schema,
+    )
+    assert [r.eligible for r in domain.eligible_news(more).collect()] == [False, False, False, True, False, False]
+    labels = spark.createDataFrame([("Bullish",), ("Somewhat-Bearish",), ("Neutral",), ("odd",), (None,)], "x string")
+    assert [r.c for r in labels.select(domain.sentiment_class("x").alias("c")).collect()] == ["positive", "negative", "neutral", "neutral", "neutral"]

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 SPACES = r"(?U)\s+"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 #: English function words that tell an English text from another.
-FUNCTION_WORDS = ("the", "and", "of", "to", "in", "for", "on", "with", "is", "are")
+FUNCTION_WORDS = ("the", "and", "of", "to", "in", "for", "with", "is", "on", "its")
 
 
 def _c(x: str | Column) -> Column:
@@ -69,7 +69,7 @@ def case_map(column: str | Column, classes: dict[str, str], default: str) -> Col
     """A mapping of labels to classes; whatever it lacks, null too, is `default`."""
     out = F.lit(default)
     for k, v in classes.items():
-        out = F.when(F.lower(F.trim(_c(column))) == k, F.lit(v)).otherwise(out)
+        out = F.when(_c(column) == k, F.lit(v)).otherwise(out)
     return out
 
 

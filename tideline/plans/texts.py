@@ -41,7 +41,7 @@ def _context(spark, sf):
     return d.select("doc_id", text.company_context("text", ["whether", "then", "reed", "stand"]).alias("context"))
 
 
-@query("word_count", "doc_id i, function_words i, few b", "SELECT doc_id, n AS function_words, n < 2 AS few FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|and|of|to|in|for|on|with|is|are)\\b')) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))")
+@query("word_count", "doc_id i, function_words i, few b", "SELECT doc_id, n AS function_words, n < 2 AS few FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|and|of|to|in|for|with|is|on|its)\\b')) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))")
 def _word_count(spark, sf):
     plain = ~F.regexp_like("text", F.lit(r"[^\x00-\x7F]"))  # word ends differ between engines beside other letters
     d = table(spark, sf, "documents").where("lang = 'en'").where(plain).select("doc_id", text.word_count("text").alias("function_words"))
