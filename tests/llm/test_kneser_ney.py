@@ -58,10 +58,10 @@ def test_perplexities(spark):
 
     docs = [(r.doc_id, r.lang, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).collect()]
     docs += [(9000, None, None), (9001, "en", ""), (9002, "xx", "zzz é漢 \U0001f600"), (8200, "en", "far range " * 50), (9003, "en", "w" * 3000)]
-    labels = [(i, 1 if i % 3 else 0) for i, *_ in docs if i < 9000] + [(1, 1), (None, 1), (5, None)]
-    good = {i for i, q in labels if q == 1}
+    labels = [(i, 1 if i % 3 else 0, int(i % 7 == 2)) for i, *_ in docs if i < 9000] + [(1, 1, None), (None, 1, 0), (5, None, 0)]
+    good = {i for i, q, t in labels if q == 1 and not t}
     df = spark.createDataFrame([(*d, "clash") for d in docs] + [(None, "en", "no id here", "x")], "doc_id long, lang string, text string, kept string").repartition(3)
-    got = {r.doc_id: r for r in classify(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    got = {r.doc_id: r for r in classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     want = brute([t for i, _, t in docs if i in good], [t for *_, t in docs] + ["no id here"])
     for (i, _, t), x in zip([*docs, (None, "en", "no id here")], want):
         assert got[i].n_words == len((t or "").split())

@@ -329,14 +329,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
 
 
 def classify(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
-    """(doc_id, lang, n_words, log_ppl, threshold, kept) of each row of `docs`; `labels` says what is trusted (quality 1).
+    """(doc_id, lang, n_words, log_ppl, threshold, kept) of each row of `docs`; `labels` says what is trusted: quality 1, not toxic.
 
     Texts null, empty or without words have no perplexity and are not kept. A null language is a language of its own. A
     language without trusted documents takes the threshold over all of them; without any trusted document every text with
     words is kept. Rows with a null id are scored but never trusted; repeated rows are scored apart. Long texts are read
     whole; an empty table gives an empty result; other columns are not read.
     """
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    clean = "coalesce(toxic, 0) = 0" if "toxic" in labels.columns else "true"
+    trusted = labels.where(f"quality = 1 AND {clean} AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     scores = checkpointed(perplexities(docs, trusted, params))
     bins = scores.join(trusted, "doc_id").where("log_ppl IS NOT NULL").groupBy("lang", F.floor(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n"))
     bins = checkpointed(bins)  # bounded for each language by the steps between the smallest and the largest perplexity
