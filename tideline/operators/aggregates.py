@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import meet, positions
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b; `empty` where b is 0 or either is null."""
@@ -78,7 +80,16 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], column: str, at: Sequence[float]) -> DataFrame:
-    """Exact quantiles, linear between neighbours."""
-    p = F.percentile(column, F.array(*map(F.lit, at)))
-    out = df.groupBy(*keys).agg(p.alias("__p"), F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
-    return out.select(*keys, "n", "mean", "min", "max", *(F.col("__p")[i].alias(f"q{round(1000 * q)}") for i, q in enumerate(at)))
+    """Exact quantiles, linear between neighbours, with count, mean and extremes; no task holds a whole group."""
+    values = positions(df, keys, column)
+    total = values.groupBy(*keys).agg(F.sum("n").alias("__n"), (F.sum(F.col(column) * F.col("n")) / F.sum("n")).alias("__mean"), F.min(column).alias("__min"), F.max(column).alias("__max"))
+    both = meet(values, total, keys)
+    out, picks = {}, []
+    for q in at:
+        name, place = f"q{round(1000 * q)}", F.lit(float(q)) * (F.col("__n") - 1)
+        value = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("n")), F.col(column)))
+        picks += [value(F.floor(place)).alias(f"__lo_{name}"), value(F.ceil(place)).alias(f"__hi_{name}")]
+        part = F.lit(float(q)) * (F.col("n") - 1)
+        out[name] = F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (part - F.floor(part))
+    agg = both.groupBy(*keys).agg(F.max("__n").alias("__rows"), F.max("__mean").alias("mean"), F.max("__min").alias("min"), F.max("__max").alias("max"), *picks).withColumnRenamed("__rows", "n")
+    return agg.select(*keys, "n", "mean", "min", "max", *(c.alias(n) for n, c in out.items()))

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .aggregates import ratio
+from .ranks import meet, positions
 
 CELLS = ("tn", "fp", "fn", "tp")
 
@@ -41,18 +42,10 @@ def rates(df: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, keys: Sequence[str], target: str = "target", score: str = "probability") -> DataFrame:
     """Area under the curve by group, ties counting half; null unless both classes occur.
 
-    Rows are first counted by score, so the running sums go over distinct scores; over no keys these are cut in ranges
-    whose totals carry over, so no task sorts them all.
+    Rows are counted by score, and the running sums of negatives are those of positions among negatives.
     """
-    counts = df.groupBy(*keys, score).agg(F.sum((F.col(target) == 1).cast("long")).alias("p"), F.sum((F.col(target) == 0).cast("long")).alias("n"))
-    counts = counts.withColumn("__b", F.floor(F.col(score) * 64))
-    inside = Window.partitionBy(*keys, "__b").orderBy(score)
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.groupBy(*keys, "__b").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    left = counts.withColumn("below", F.sum("n").over(inside) - F.col("n"))
-    both = [left[c].eqNullSafe(base[c]) for c in [*keys, "__b"]]
-    joined = left.join(base, both).select(*(left[c] for c in keys), "p", "n", (F.col("below") + F.col("base")).alias("below"))
-    out = joined.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    both = positions(df.withColumn("__neg", (F.col(target) == 0).cast("long")).withColumn("__pos", (F.col(target) == 1).cast("long")), keys, score, sums={"p": F.sum("__pos"), "m": F.sum("__neg")}, weight="m")
+    out = both.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("m") / 2)).alias("wins"), F.sum("p").alias("pos"), F.sum("m").alias("neg"))
     return out.select(*keys, F.try_divide(F.col("wins"), F.nullif((F.col("pos") * F.col("neg")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
@@ -104,11 +97,10 @@ def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
     """Pearson's correlation, and Spearman's as that of mean ranks."""
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-
-    ranked = df.withColumns({"__rx": rank(x), "__ry": rank(y)})
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
+    for c, r in ((x, "__rx"), (y, "__ry")):  # the mean rank of equal values, by value
+        ranks = positions(df, keys, c).select(*keys, c, (F.col("below") + (F.col("n") + 1) / 2).alias(r))
+        df = meet(df, ranks, [*keys, c])
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
 
 
 def best_threshold(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], target: str = "target", score: str = "probability") -> DataFrame:
