@@ -28,11 +28,11 @@ def _date_range(spark, sf):
     return o.where(between).where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
 
 
-@query("nulls_first", "k i, event_id i, score f6", "SELECT row_number() OVER (ORDER BY s NULLS FIRST, event_id) AS k, event_id, s AS score FROM (SELECT event_id, CASE WHEN label <> 'neutral' THEN score END AS s FROM news WHERE event_id < 50) LIMIT 20", "news")
+@query("nulls_first", "k i, event_id i, score f6", "SELECT row_number() OVER (ORDER BY s NULLS FIRST, event_id) AS k, event_id, s AS score FROM (SELECT event_id, CASE WHEN label <> 'neutral' THEN score END AS s FROM news) ORDER BY 1 LIMIT 20", "news")
 def _nulls_first(spark, sf):
     from pyspark.sql import Window
 
-    few = news(spark, sf).where("event_id < 50").withColumn("score", F.when(F.col("label") != "neutral", F.col("score")))
+    few = news(spark, sf).withColumn("score", F.when(F.col("label") != "neutral", F.col("score")))
     ordered = few.orderBy(F.col("score").asc_nulls_first(), "event_id").limit(20)
     return ordered.withColumn("k", F.row_number().over(Window.orderBy(F.col("score").asc_nulls_first(), "event_id")))
 
@@ -61,9 +61,9 @@ def _json_extract(spark, sf):
     return e.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("again"))
 
 
-@query("flatten_feed", "ticker s, title s, relevance_score f2, ticker_sentiment_label s", "SELECT ticker, title, CASE WHEN user_id % 2 = 0 THEN relevance END AS relevance_score, CASE WHEN user_id % 2 = 0 THEN label END AS ticker_sentiment_label FROM news WHERE event_id < 500", "news")
+@query("flatten_feed", "ticker s, title s, relevance_score f2, ticker_sentiment_label s", "SELECT ticker, title, CASE WHEN user_id % 2 = 0 THEN relevance END AS relevance_score, CASE WHEN user_id % 2 = 0 THEN label END AS ticker_sentiment_label FROM news", "news")
 def _flatten_feed(spark, sf):
-    n = news(spark, sf).where("event_id < 500")
+    n = news(spark, sf)
     own = F.struct(F.when(F.col("user_id") % 2 == 0, F.col("ticker")).otherwise("other").alias("ticker"), F.col("relevance").cast("string").alias("relevance_score"), F.lit("0").alias("ticker_sentiment_score"), F.col("label").alias("ticker_sentiment_label"))
     feed = F.to_json(F.struct(F.array(F.struct("title", F.array(own).alias("ticker_sentiment"))).alias("feed")))
     return readers.flatten_feed(n.select("ticker", feed.alias("json")), "json", "ticker")
@@ -286,9 +286,9 @@ def _interactions(spark, sf):
     return df.withColumnsRenamed({f"{ENTITIES[1]}__px": "x1", f"{ENTITIES[2]}__px": "x2", f"{ENTITIES[4]}__volume": "v4"})
 
 
-@query("explode_variants", "doc_id i, variant s, text_md5 s", "SELECT doc_id, 'headline' AS variant, md5(substr(text, 1, 40)) AS text_md5 FROM documents WHERE trim(substr(text, 1, 40)) <> '' UNION ALL SELECT doc_id, 'full_text', md5(text) FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, 'lang', md5(lang) FROM documents WHERE trim(lang) <> ''")
+@query("explode_variants", "doc_id i, variant s, text_md5 s", "SELECT doc_id, 'headline' AS variant, md5(split_part(text, chr(10), 1)) AS text_md5 FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '' UNION ALL SELECT doc_id, 'full_text', md5(text) FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, 'lang', md5(lang) FROM documents WHERE trim(lang) <> ''")
 def _explode_variants(spark, sf):
-    v = reshape.variants(table(spark, sf, "documents"), ["doc_id"], {"headline": F.substring("text", 1, 40), "full_text": F.col("text"), "lang": F.col("lang")})
+    v = reshape.variants(table(spark, sf, "documents"), ["doc_id"], {"headline": F.substring_index("text", "\n", 1), "full_text": F.col("text"), "lang": F.col("lang")})
     return v.withColumn("text_md5", F.md5("text"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup, ml, splits
 from ..operators import windows as w
 from .catalog import query, table
-from .substrate import ENTITIES, labelled, news, panel
+from .substrate import labelled, news, panel
 
 
 @query("dedup_first", "doc_id i, source s", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
@@ -35,13 +35,13 @@ def _causal_dedup(spark, sf):
 @query(
     "dup_components",
     "doc_id i, component i",
-    """SELECT * FROM (WITH RECURSIVE k AS (SELECT doc_id, 'text' AS kind, text AS key FROM documents UNION ALL SELECT doc_id, 'head', substr(text, 1, 24) FROM documents),
+    """SELECT * FROM (WITH RECURSIVE k AS (SELECT doc_id, 'text' AS kind, text AS key FROM documents UNION ALL SELECT doc_id, 'head', split_part(text, chr(10), 1) FROM documents WHERE split_part(text, chr(10), 1) <> ''),
     e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b USING (kind, key)),
     r AS (SELECT doc_id, doc_id AS component FROM documents UNION SELECT e.b, r.component FROM r JOIN e ON e.a = r.doc_id)
     SELECT doc_id, min(component) AS component FROM r GROUP BY 1)""",
 )
 def _dup_components(spark, sf):
-    return dedup.duplicate_components(table(spark, sf, "documents"), "doc_id", {"text": F.col("text"), "head": F.substring("text", 1, 24)})
+    return dedup.duplicate_components(table(spark, sf, "documents"), "doc_id", {"text": F.col("text"), "head": F.substring_index("text", "\n", 1)})
 
 
 @query(
@@ -162,7 +162,7 @@ def _logistic(spark, sf):
 @query("nested_validation", "ticker s, date d, variant s, model_name s, outer_fold i, target i, probability f4, prediction i")
 def _nested(spark, sf):
     """Nested purged validation of two feature sets with parameters chosen inside each fold."""
-    df = _features(spark, sf).where(F.col("ticker").isin(ENTITIES[:2]))
+    df = _features(spark, sf)
     outer = splits.outer_folds(df, date(2000, 6, 1), 2)
     return ml.nested(df, outer, "logistic", {"returns": ["r", "rv"], "relative": FEATURES}, [{"c": 1.0}, {"c": 0.01}], ["ticker", "date"], inner=2)
 

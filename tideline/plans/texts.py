@@ -35,16 +35,15 @@ def _canonical_url(spark, sf):
     return p.select("page_id", text.canonical_url("url").alias("url"), text.url_path("url").alias("path"))
 
 
-@query("context_extract", "doc_id i, context s", "SELECT doc_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(keep), lambda s: {'i': list_position(keep, s), 's': s})), lambda x: x.s), ' '), '') AS context FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(c, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda s: regexp_matches(s, '(?i)\\b(whether|then|reed|stand)\\b')) AS keep FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents WHERE lang = 'en' AND length(text) < 4000))")
+@query("context_extract", "doc_id i, context s", "SELECT doc_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(keep), lambda s: {'i': list_position(keep, s), 's': s})), lambda x: x.s), ' '), '') AS context FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(c, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda s: regexp_matches(s, '(?i)(^|[^\\p{L}\\p{N}_])(whether|then|reed|stand)([^\\p{L}\\p{N}_]|$)')) AS keep FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents))")
 def _context(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en' AND length(text) < 4000")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", text.company_context("text", ["whether", "then", "reed", "stand"]).alias("context"))
 
 
-@query("word_count", "doc_id i, function_words i, few b", "SELECT doc_id, n AS function_words, n < 2 AS few FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|and|of|to|in|for|with|is|on|its)\\b')) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))")
+@query("word_count", "doc_id i, function_words i, few b", "SELECT doc_id, n AS function_words, n < 2 AS few FROM (SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: lower(w) IN ('the', 'and', 'of', 'to', 'in', 'for', 'with', 'is', 'on', 'its'))) AS n FROM documents)")
 def _word_count(spark, sf):
-    plain = ~F.regexp_like("text", F.lit(r"[^\x00-\x7F]"))  # word ends differ between engines beside other letters
-    d = table(spark, sf, "documents").where("lang = 'en'").where(plain).select("doc_id", text.word_count("text").alias("function_words"))
+    d = table(spark, sf, "documents").select("doc_id", text.word_count("text").alias("function_words"))
     return d.withColumn("few", F.col("function_words") < 2)
 
 
@@ -61,7 +60,7 @@ def _eligibility(spark, sf):
 
 @query("normalized_title", "doc_id i, title s")
 def _normalized(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalized(F.substring("text", 1, 60)).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", text.normalized("text").alias("title"))
 
 
 @query("date_fns", "o_orderkey i, stamp t, day d, year i, month s, middle d, three_back d", "SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y%m%dT%H%M%S'), '%Y%m%dT%H%M%S') AS stamp, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS year, strftime(o_orderdate, '%Y-%m') AS month, CAST(o_orderdate AS DATE) + CAST(floor((DATE '2001-12-31' - CAST(o_orderdate AS DATE)) / 2) AS INTEGER) AS middle, CAST(CAST(o_orderdate AS DATE) - INTERVAL 3 YEAR AS DATE) AS three_back FROM orders")
