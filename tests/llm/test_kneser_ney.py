@@ -24,7 +24,7 @@ def brute(trusted, texts, order=5):
         d[k] = [0, 0.5, 1.0, 1.5]
         if all(n[1:]):
             y = n[1] / (n[1] + 2 * n[2])
-            d[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) for i in (1, 2, 3)]
+            d[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) for i in (1, 2, 3)]
     hist = {}
     for k in c:
         for g, x in c[k].items():

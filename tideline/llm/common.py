@@ -26,6 +26,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system, where the C library can."""
+    import ctypes
+
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     from xxhash import xxh3_64_intdigest

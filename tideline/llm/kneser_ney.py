@@ -19,15 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, partitions, small_batches, table
+from .common import checkpointed, partitions, small_batches, table, trim
 
 #: Marks of a word's start and end; no word holds white space.
 START, END = " ", "\n"
 #: Ids in one range, and entries at which a task's open units are written, to bound their memory.
 RANGE_BITS = 13
-RANGE, OPEN_ENTRIES = 1 << RANGE_BITS, 6_000_000
+RANGE, OPEN_ENTRIES = 1 << RANGE_BITS, 1_500_000
 #: Perplexities are compared by their logarithm in steps of this size, so that a histogram has a bounded number of bins.
 STEP = 0.001
+#: Discounts from counts of counts are kept from this up: short n-grams have few of them, and a discount of 0 would leave
+#: nothing for what was not seen.
+LEAST_DISCOUNT = 0.1
 
 
 @dataclass(frozen=True)
@@ -168,6 +171,8 @@ def word_bags(docs: DataFrame, order: int, owners: int) -> DataFrame:
         for r, u in open_.items():
             yield _batch([u.row(number, r, order, owners)])
             number += 1
+        open_.clear()
+        trim()
 
     return slim.mapInArrow(pack, UNIT)
 
@@ -213,7 +218,7 @@ def model_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, f
         d = [0.5, 1.0, 1.5]
         if all(n[f"n{i}"] for i in range(1, 5)):
             y = n["n1"] / (n["n1"] + 2 * n["n2"])
-            d = [min(max(i - (i + 1) * y * n[f"n{i + 1}"] / n[f"n{i}"], 0.0), float(i)) for i in (1, 2, 3)]
+            d = [min(max(i - (i + 1) * y * n[f"n{i + 1}"] / n[f"n{i}"], LEAST_DISCOUNT), float(i)) for i in (1, 2, 3)]
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         own = level.select("gram", "c", F.expr(f"left(gram, {k - 1})").alias("h"), F.least(off, F.col("c")).alias("d"))
         sums = own.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("d")).select("h", "total", (F.col("d") / F.col("total")).alias("left"))
@@ -308,7 +313,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, logs = None, []
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 if r["unit"] != now:
                     now, logs = r["unit"], []
                 if r["kind"] == 0:  # owners in their order
@@ -318,11 +324,19 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
                 get = dict(zip(_grams(r["grams"]), np.concatenate(logs).tolist() if logs else [])).__getitem__
                 of_word = np.fromiter((sum(map(get, grams(w, order))) for w in words), np.float64, len(words)) if ends[-1] else np.zeros(0)
                 size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-                at = np.concatenate(([0], ends))
-                total = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[at])  # noqa: E731, B023
-                n, chars, sums = total(many), total(size[place] * many), total(of_word[place] * many) if len(place) else np.zeros(len(ends))
+                has = np.asarray(r["sizes"]) > 0
+                starts = (ends - r["sizes"])[has]
+
+                def total(x: np.ndarray) -> np.ndarray:
+                    out = np.zeros(len(has))
+                    if len(starts):
+                        out[has] = np.add.reduceat(x.astype(np.float64), starts)
+                    return out
+
+                n, chars, sums = total(many), total(size[place] * many), total(of_word[place] * many)
                 ppl = [None if not c else float(-s / c) for s, c in zip(sums, chars)]
                 yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), pa.array(n.astype(np.int64)), pa.array(ppl, pa.float64())], ["doc_id", "lang", "n_words", "log_ppl"])
+        trim()
 
     dealt = bags.unionByName(answers).repartition(owners, "unit").sortWithinPartitions("unit", "kind", "owner")
     return dealt.mapInArrow(score, "doc_id long, lang string, n_words long, log_ppl double")
