@@ -25,7 +25,7 @@ from .common import checkpointed, partitions, small_batches, table, trim
 START, END = " ", "\n"
 #: Ids in one range, and entries at which a task's open units are written, to bound their memory.
 RANGE_BITS = 13
-RANGE, OPEN_ENTRIES = 1 << RANGE_BITS, 1_500_000
+RANGE, OPEN_ENTRIES = 1 << RANGE_BITS, 2_500_000
 #: Perplexities are compared by their logarithm in steps of this size, so that a histogram has a bounded number of bins.
 STEP = 0.001
 #: Discounts from counts of counts are kept from this up: short n-grams have few of them, and a discount of 0 would leave
@@ -120,7 +120,7 @@ class _Unit:
         for w in words:
             found.update(grams(w, order))
         listed, cuts = _owned(found, owners)
-        flat = lambda x: _pack(np.concatenate(x).astype("<i4").tobytes() if x else b"")
+        flat = lambda x: _pack(np.concatenate(x).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() if x else b"")  # noqa: E731  bytes of like weight side by side pack better
         return unit, range_, 1, None, self.ids, self.langs, [len(p) for p in places], _pack(" ".join(words[i] for i in rank.tolist()).encode("utf-8", "surrogatepass")), flat(places), flat(counts), _packed(listed), cuts
 
 
@@ -134,7 +134,8 @@ def _unpack(row: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
 
     get = lambda x: zstandard.ZstdDecompressor().decompress(row[x])
     words = get("words").decode("utf-8", "surrogatepass").split(" ")
-    steps, counts = np.frombuffer(get("places"), "<i4").astype(np.int64), np.frombuffer(get("counts"), "<i4")
+    whole = lambda x: np.ascontiguousarray(np.frombuffer(get(x), np.uint8).reshape(4, -1).T).reshape(-1).view("<i4")
+    steps, counts = whole("places").astype(np.int64), whole("counts")
     ends = np.cumsum(row["sizes"], dtype=np.int64)
     if len(steps):
         total = np.cumsum(steps)
