@@ -52,3 +52,41 @@ def test_odd_rows(spark):
     got = sorted(map(str, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", __import__("pyspark").sql.functions.lit("x"))).collect()))
     assert got == sorted(str(r) for r in [f"Row(doc_id=1, text={(line + chr(10) + 'mine')!r}, n_lines=2, n_removed=0)"] * 2 + ["Row(doc_id=2, text=None, n_lines=0, n_removed=0)", f"Row(doc_id=None, text={line!r}, n_lines=1, n_removed=0)", "Row(doc_id=3, text='', n_lines=1, n_removed=1)", "Row(doc_id=3, text='other', n_lines=2, n_removed=1)", "Row(doc_id=None, text=None, n_lines=0, n_removed=0)"])
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def maximal(rows, min_chars=50):
+    """doc_id -> text: for every two places with the same lines, the whole run that they share goes from the later one."""
+    docs = []
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        docs.append((i, lines, [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]))
+    places = [(d, p) for d, (_, _, at) in enumerate(docs) for p in range(len(at))]
+    line = {(d, p): docs[d][1][docs[d][2][p]] for d, p in places}
+    by = {}
+    for x in places:
+        by.setdefault(line[x], []).append(x)
+    gone = {i: set() for i, *_ in docs}
+    for at in by.values():
+        for n, (d, p) in enumerate(at):
+            for e, q in at[:n]:
+                if p and q and line[d, p - 1] == line[e, q - 1]:
+                    continue  # the run starts before
+                m = 0
+                while (d, p + m) in line and line.get((e, q + m)) == line[d, p + m]:
+                    m += 1
+                if sum(len(line[d, p + k]) for k in range(m)) >= min_chars:
+                    gone[docs[d][0]].update(docs[d][2][p : p + m])
+    return {i: (len(at), len(gone[i]), "\n".join(x for k, x in enumerate(lines) if k not in gone[i])) for i, lines, at in docs}
+
+
+def test_whole_maximal_runs_go(spark):
+    from tideline.llm.line_dedup import dedup_lines
+
+    rng = random.Random(5)
+    pool = ["x" * rng.choice([1, 3, 10, 24, 49, 50, 80]) + str(k) for k in range(12)] + ["", "  "]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 40)))) for k in range(60)] + [(92, "a\n" * 200)]
+    long, short = "a" * 60, "b" * 10
+    rows += [(100, f"{long}\n{short}\nmine"), (101, f"{long}\n{short}\nother")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == maximal(rows)
+    assert got[101] == (3, 2, "other")

@@ -2,10 +2,11 @@
 
 A document is the sequence of the ids of its non-blank lines. Doubling names the run of 2^(k+1) lines at each place by the
 names of the two runs of 2^k lines in it, so equal names are equal runs; in the suffix array, whose order they refine, the
-places with one name are the interval whose longest common prefix reaches the run. Each place takes the shortest run that is
-long enough to count; two overlapping named runs make its name. A place whose run stands earlier in the corpus is a later
-copy. The union of these runs is exactly what lies in maximal repeated runs, because every long enough part of a maximal
-run repeats with it.
+places with one name are the interval whose longest common prefix reaches the run. Each line takes the shortest run that is
+long enough to count from it on, and the shortest one up to it; two overlapping named runs make a name. A place whose run
+stands earlier in the corpus is a later copy. The union of these runs is exactly what lies in maximal repeated runs: every
+long enough part of a maximal run repeats with it, and each of its lines has such a part from it on, or up to it, or else
+lies in the part from the run's first line on.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _lines(text: Column) -> Column:
 
 
 def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, th, pos, lines): the shortest counting runs that stand earlier in the corpus too.
+    """(doc_id, th, pos, lines): the shortest counting runs from and up to each line that stand earlier in the corpus too.
 
     th tells apart the texts of one id; pos numbers the non-blank lines from 0. Earlier means a smaller (doc_id, th, pos).
     """
@@ -44,12 +45,23 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         ahead = F.lead(f"n{k}", 1 << k).over(w)
         now = now.withColumn(f"n{k + 1}", F.when(ahead.isNotNull(), F.xxhash64(f"n{k}", ahead)))
     now = now.withColumn("ends", F.array("n0", *(F.lag(f"n{k}", (1 << k) - 1).over(w) for k in range(1, depth + 1))))  # the runs that end here
+    names = F.array(*(f"n{k}" for k in range(depth + 1)))  # the runs that start here
     # each line has a character, so the lines with less than min_chars between here and them are the run, its last line included
+    now = now.withColumn("end", F.col("before") + F.col("chars"))
     near = W.Window.partitionBy("doc_id", "th", "seg").orderBy("before").rangeBetween(0, min_chars - 1)
-    now = now.withColumns({"lines": F.count("*").over(near), "last": F.last("ends").over(near), "reach": F.max(F.col("before") + F.col("chars")).over(near) - F.col("before")})
-    level = F.floor(F.log2("lines") + 1e-9).cast("int")
-    name = F.xxhash64("lines", F.get(F.array(*(f"n{k}" for k in range(depth + 1))), level), F.get("last", level))
-    runs = now.where(F.col("reach") >= min_chars).select("doc_id", "th", "pos", F.col("lines").cast("int").alias("lines"), name.alias("name"))
+    now = now.withColumns({"lines": F.count("*").over(near), "last": F.last("ends").over(near), "reach": F.max("end").over(near) - F.col("before")})
+    # and backward: the lines that end less than min_chars before the end of this one
+    back = W.Window.partitionBy("doc_id", "th", "seg").orderBy("end").rangeBetween(1 - min_chars, 0)
+    now = now.withColumns({"lines_up": F.count("*").over(back), "first": F.first(names).over(back), "reach_up": F.col("end") - F.min("before").over(back)})
+
+    def run(pos: Column, lines: Column, first: Column, last: Column) -> Column:
+        level = F.floor(F.log2(lines) + 1e-9).cast("int")
+        return F.struct(pos.cast("int").alias("pos"), lines.cast("int").alias("lines"), F.xxhash64(lines, F.get(first, level), F.get(last, level)).alias("name"))
+
+    onward = F.when(F.col("reach") >= min_chars, run(F.col("pos"), F.col("lines"), names, F.col("last")))
+    # one that falls short without its last line is the shortest run from its first line on already
+    upward = F.when(F.col("reach_up") - F.col("chars") >= min_chars, run(F.col("pos") - F.col("lines_up") + 1, F.col("lines_up"), F.col("first"), F.col("ends")))
+    runs = now.select("doc_id", "th", F.inline(F.filter(F.array(onward, upward), lambda r: r.isNotNull())))
     runs = checkpointed(runs)
     first = runs.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").select("name", "first")
     return runs.join(checkpointed(first), "name").where(place > F.col("first")).select("doc_id", "th", "pos", "lines")
