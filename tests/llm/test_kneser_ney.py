@@ -85,3 +85,55 @@ def test_nothing_trusted_and_nothing_at_all(spark):
     assert sorted((r.doc_id, r.kept) for r in classify(df, labels).collect()) == [(1, True), (2, False)]
     assert classify(df.limit(0), labels).count() == 0
     assert [r.doc_id for r in keep_documents(df, labels).collect()] == [1]
+
+
+def brute_across(trusted, texts, order=5):
+    """log perplexities under the model whose n-grams cross words, from its textbook form."""
+    marked = lambda t: "\r" + " ".join(t.split()) + "\n"
+    each = lambda t: [s[max(0, i - order) : i] for s in [marked(t)] for i in range(2, len(s) + 1)] if t and t.split() else []
+    c = {k: Counter() for k in range(1, order + 1)}
+    for t in trusted:
+        for g in each(t):
+            c[len(g)][g] += 1
+    for k in range(order - 1, 0, -1):
+        for g in list(c[k + 1]):
+            c[k][g[1:]] += 1
+    d, hist = {}, {}
+    for k in c:
+        n = [sum(x == i for x in c[k].values()) for i in range(5)]
+        d[k] = [0, 0.5, 1.0, 1.5]
+        if all(n[1:]):
+            y = n[1] / (n[1] + 2 * n[2])
+            d[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i) for i in (1, 2, 3)]
+        for g, x in c[k].items():
+            h = hist.setdefault(g[:-1], [0, 0.0])
+            h[0] += x
+            h[1] += min(d[k][min(x, 3)], x)
+
+    def p(g):
+        if not g:
+            return 1 / (len(c[1]) + 1)
+        total, left = hist.get(g[:-1], (0, 0))
+        if not total:
+            return p(g[1:])
+        x = c[len(g)][g]
+        return (x - min(d[len(g)][min(x, 3)], x)) / total + left / total * p(g[1:])
+
+    found = [each(t) for t in texts]
+    return [-sum(math.log(p(g)) for g in gs) / len(gs) if gs else None for gs in found]
+
+
+def test_n_grams_cross_words(spark):
+    from tideline.llm.kneser_ney import WHOLE, classify
+
+    docs = [(r.doc_id, r.lang, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    long = next(t for i, _, t in docs if i % 3 and len((t or "").split()) > 50)
+    docs += [(9000, None, None), (9001, "en", " \n "), (9002, "xx", "a é 漢\t\U0001f600 b"), (9003, "en", long), (9004, "en", " ".join(sorted(long.split())))]
+    labels = [(i, 1 if i % 3 else 0, 0) for i, *_ in docs if i < 9000]
+    good = {i for i, q, _ in labels if q}
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string").repartition(3)
+    got = {r.doc_id: r for r in classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), WHOLE).collect()}
+    for (i, _, t), x in zip(docs, brute_across([t for i, _, t in docs if i in good], [t for *_, t in docs])):
+        assert got[i].n_words == len((t or "").split())
+        assert (got[i].log_ppl is None) if x is None else math.isclose(got[i].log_ppl, x, rel_tol=1e-9)
+    assert got[9004].log_ppl > got[9003].log_ppl + 0.1  # the same words in another order

@@ -1,7 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-A text is the sequence of its words, a word the sequence of its characters between a start and an end mark. Texts are
-packed into bags of words by units of documents. Trusted units give counts, and joins of their shards level by level give
+A text is the sequence of its words, parted by single spaces, between a start and an end mark, and n-grams cross words: each
+word stands with the characters before it that its n-grams reach, so a bag of such items holds every n-gram of the text as
+often as it stands there. (Without `across` a word has marks of its own, and no n-gram leaves it.) Texts are packed into
+bags of items, below called words, by units of documents. Trusted units give counts, and joins of their shards level by level give
 each seen n-gram its probability. Units send each n-gram that they hold once to the shard that owns it; what the model has
 not seen backs off by joins with shorter ones, and the answers go back to the units, which score every word once and
 every document by its bag. A document passes if its perplexity is within its language's quantile among trusted ones.
@@ -21,8 +23,8 @@ from pyspark.sql import window as W
 
 from .common import checkpointed, partitions, small_batches, table, trim
 
-#: Marks of a word's start and end; no word holds white space.
-START, END = " ", "\n"
+#: Marks of a word's start and end, and of a text's start, which no character precedes; no word holds white space.
+START, END, FIRST = " ", "\n", "\r"
 #: Ids in one range, and entries at which a task's open units are written, to bound their memory.
 RANGE_BITS = 13
 RANGE, OPEN_ENTRIES = 1 << RANGE_BITS, 2_500_000
@@ -35,17 +37,41 @@ LEAST_DISCOUNT = 0.1
 
 @dataclass(frozen=True)
 class ModelParams:
-    """order: characters in an n-gram. quantile: of trusted documents of a language that pass; slack: added to its threshold."""
+    """order: characters in an n-gram. quantile: of trusted documents of a language that pass; slack: added to its threshold.
+    across: n-grams cross the spaces between words."""
 
     order: int = 5
     quantile: float = 0.995
     slack: float = 0.1
+    across: bool = False
 
 
-def grams(word: str, order: int) -> list[str]:
-    """The n-gram of each character of a word and of its end: as many characters before it as the order and the word have."""
-    s = START + word + END
-    return [s[max(0, i - order) : i] for i in range(2, len(s) + 1)]
+#: The model of the query and of the pipeline.
+WHOLE = ModelParams(across=True)
+
+
+def bag_of(text: str | None, order: int, across: bool) -> Counter:
+    """How often each word stands in a text, with what is before it and the mark after it."""
+    words = (text or "").split()
+    if not across:
+        return Counter({START + w + END: n for w, n in Counter(words).items()})
+    reach, item, out = max(order - 1, 1), FIRST, []
+    for w in words:
+        item = f"{item[-reach:]}{w}{START}"
+        out.append(item)
+    if out:
+        out[-1] = out[-1][:-1] + END
+    return Counter(out)
+
+
+def _begin(item: str) -> int:
+    """Where the word of an item begins."""
+    return max(item.rfind(START, 0, -1), item.rfind(FIRST, 0, -1)) + 1
+
+
+def grams(item: str, order: int) -> list[str]:
+    """The n-gram of each character of an item's word and of the mark after it: as many characters before it as the order and the item have."""
+    return [item[max(0, i - order) : i] for i in range(_begin(item) + 1, len(item) + 1)]
 
 
 UNIT = "unit long, range long, kind int, owner int, ids array<long>, langs array<string>, sizes array<int>, words binary, places binary, counts binary, grams binary, cuts array<int>"
@@ -93,8 +119,7 @@ class _Unit:
         self.places: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
 
-    def add(self, doc_id, lang, text: str | None) -> int:
-        bag = Counter((text or "").split())
+    def add(self, doc_id, lang, bag: Counter) -> int:
         v = self.vocabulary
         n = len(bag)
         self.ids.append(doc_id)
@@ -121,7 +146,7 @@ class _Unit:
             found.update(grams(w, order))
         listed, cuts = _owned(found, owners)
         flat = lambda x: _pack(np.concatenate(x).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() if x else b"")  # noqa: E731  bytes of like weight side by side pack better
-        return unit, range_, 1, None, self.ids, self.langs, [len(p) for p in places], _pack(" ".join(words[i] for i in rank.tolist()).encode("utf-8", "surrogatepass")), flat(places), flat(counts), _packed(listed), cuts
+        return unit, range_, 1, None, self.ids, self.langs, [len(p) for p in places], _pack(TAB.join(words[i] for i in rank.tolist()).encode("utf-8", "surrogatepass")), flat(places), flat(counts), _packed(listed), cuts
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -133,7 +158,7 @@ def _unpack(row: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
     get = lambda x: zstandard.ZstdDecompressor().decompress(row[x])
-    words = get("words").decode("utf-8", "surrogatepass").split(" ")
+    words = get("words").decode("utf-8", "surrogatepass").split(TAB)
     whole = lambda x: np.ascontiguousarray(np.frombuffer(get(x), np.uint8).reshape(4, -1).T).reshape(-1).view("<i4")
     steps, counts = whole("places").astype(np.int64), whole("counts")
     ends = np.cumsum(row["sizes"], dtype=np.int64)
@@ -148,7 +173,7 @@ def _unpack(row: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     return words, total, counts, ends
 
 
-def word_bags(docs: DataFrame, order: int, owners: int) -> DataFrame:
+def word_bags(docs: DataFrame, order: int, owners: int, across: bool) -> DataFrame:
     """Units of documents whose ids lie in one range, as packed bags of words, with the n-grams that they hold."""
     small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -163,7 +188,7 @@ def word_bags(docs: DataFrame, order: int, owners: int) -> DataFrame:
         for batch in batches:
             for i, g, t in zip(*(c.to_pylist() for c in batch.columns)):
                 at = None if i is None else i // RANGE
-                entries += open_.setdefault(at, _Unit()).add(i, g, t)
+                entries += open_.setdefault(at, _Unit()).add(i, g, bag_of(t, order, across))
                 if entries >= OPEN_ENTRIES or len(open_[at].ids) >= 2 * RANGE:
                     for r, u in open_.items():
                         yield _batch([u.row(number, r, order, owners)])
@@ -255,7 +280,7 @@ def backed_off(asked: DataFrame, values: DataFrame, histories: DataFrame, unseen
 def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
     """(doc_id, lang, n_words, log_ppl) of each row: natural logarithm of the perplexity for a character; null without words."""
     order, owners = params.order, partitions(docs.sparkSession)
-    bags = checkpointed(word_bags(docs, order, owners))
+    bags = checkpointed(word_bags(docs, order, owners, params.across))
     counts = checkpointed(trusted_counts(bags, trusted.select("doc_id").distinct(), order))
     values, histories, unseen = model_tables(counts, order)
 
@@ -324,7 +349,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
                 words, place, many, ends = _unpack(r)
                 get = dict(zip(_grams(r["grams"]), np.concatenate(logs).tolist() if logs else [])).__getitem__
                 of_word = np.fromiter((sum(map(get, grams(w, order))) for w in words), np.float64, len(words)) if ends[-1] else np.zeros(0)
-                size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+                size = np.fromiter((len(w) - _begin(w) for w in words), np.int64, len(words))
                 has = np.asarray(r["sizes"]) > 0
                 starts = (ends - r["sizes"])[has]
 
@@ -369,14 +394,14 @@ def classify(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelPara
     return out.withColumn("kept", F.coalesce(F.col("log_ppl").isNotNull() & (F.col("log_ppl") <= F.coalesce("threshold", F.lit(float("inf")))), F.lit(False))).select("doc_id", "lang", "n_words", "log_ppl", "threshold", "kept")
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
+def keep_documents(docs: DataFrame, labels: DataFrame, params: ModelParams = WHOLE) -> DataFrame:
     """The documents that pass; columns as in `docs`. Rows with a null id stay."""
     bad = classify(docs, labels, params).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(checkpointed(bad), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WHOLE)
 
 
 QUERIES = {"op4_kneser_ney": op4_kneser_ney}
