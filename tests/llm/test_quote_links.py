@@ -94,3 +94,11 @@ def test_sql_gives_the_same(spark, tmp_path):
     df = op3_quote_links(spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['op3_quote_links']})").fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_short_passages_link(spark):
+    from tideline.llm.quote_links import link_quotes
+
+    rows = [(1, 0, "Shall we?"), (1, 1, "Yes, ok"), (1, 2, "> Yes, ok\nGood."), (1, 3, "我们走吧。"), (1, 4, "> 我们走吧。\n好"), (1, 5, "> --\n\nNothing quoted.")]
+    got = {r.turn: r.parent_turn for r in link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: None, 4: 3, 5: None}

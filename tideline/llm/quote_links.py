@@ -12,7 +12,7 @@ from .common import checkpointed, table
 #: Quote marks at the start of a line, and a line that introduces a quotation.
 MARKS = r"^(?:[ \t]*>)+"
 INTRODUCES = r"^(?:On|Am|Le|El|Il)\b.{1,300}\b(?:wrote|schrieb[^:\n]{0,80}|a écrit|escribió|ha scritto) ?:[ \t]*$"
-#: A passage links from so many letters and digits on.
+#: The SQL links a passage from so many letters and digits on; the operator links every one that has any.
 MIN_CHARS = 8
 #: Turns in one bucket of a conversation: the part of it that one task sorts.
 BUCKET = 1_024
@@ -32,7 +32,7 @@ def _passages(lines: Column, level: Column) -> Column:
     own = F.array_join(F.transform(lines, lambda x: F.when((_level(x) == level) & ~F.regexp_like(x, F.lit(INTRODUCES)), F.regexp_replace(x, MARKS + "[ \t]?", "")).otherwise(F.lit(""))), "\n")
     parts = F.filter(F.split(own, r"\n[ \t]*(?=\n)"), lambda p: F.regexp_like(p, F.lit(r"[\p{L}\p{N}]")))
     lone = F.flatten(F.transform(parts, lambda p: F.split(p, "\n")))
-    return F.array_distinct(F.filter(F.transform(F.concat(parts, lone), _normal), lambda p: F.length(p) >= MIN_CHARS))
+    return F.array_distinct(F.filter(F.transform(F.concat(parts, lone), _normal), lambda p: F.length(p) > 0))
 
 
 def _before(units: DataFrame, key: list[str]) -> DataFrame:
