@@ -1,8 +1,8 @@
 """Line dedup: repeated runs of lines found by prefix doubling over line-id sequences; later copies are deleted.
 
 A document is the sequence of the ids of its non-blank lines. Doubling names the run of 2^(k+1) lines at each place by the
-names of the two runs of 2^k lines in it, so equal names are equal runs; in the suffix array, whose order they refine, the
-places with one name are the interval whose longest common prefix reaches the run. Each line takes the shortest run that is
+names of the two runs of 2^k lines in it, so equal names are equal runs. Names are hashes without an order: no suffix array
+is made, but the places with one name are the interval of it whose longest common prefix reaches the run. Each line takes the shortest run that is
 long enough to count from it on, and the shortest one up to it; two overlapping named runs make a name. A place whose run
 stands earlier in the corpus is a later copy. The union of these runs is exactly what lies in maximal repeated runs: every
 long enough part of a maximal run repeats with it, and each of its lines has such a part from it on, or up to it, or else
