@@ -24,7 +24,7 @@ def brute(rows):
             else:
                 out |= {normal("\n".join(now)), *map(normal, now)}
                 now = []
-        return {p for p in out if len(p) >= 8}
+        return {p for p in out if p}
 
     parent = {}
     for c, t, text in rows:
@@ -102,3 +102,35 @@ def test_short_passages_link(spark):
     rows = [(1, 0, "Shall we?"), (1, 1, "Yes, ok"), (1, 2, "> Yes, ok\nGood."), (1, 3, "我们走吧。"), (1, 4, "> 我们走吧。\n好"), (1, 5, "> --\n\nNothing quoted.")]
     got = {r.turn: r.parent_turn for r in link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
     assert got == {0: None, 1: None, 2: 1, 3: None, 4: 3, 5: None}
+
+
+def test_long_and_deeply_nested_texts(spark):
+    from tideline.llm.quote_links import link_quotes
+
+    long = "word " * 1_000_000
+    rows = [
+        (1, 0, "A message to quote."),
+        (1, 1, ">" * 100_000 + "A message to quote."),
+        (1, 2, "> A message to quote.\n" + "\n" * 100_000 + "Then this." + "\n \t" * 100_000),
+        (1, 3, "\n".join(">" * k + f" level {k}" for k in range(1, 3_000))),
+        (1, 4, long),
+        (1, 5, "> " + long + "\nThat was long."),
+        (1, 6, " \t" * 100_000 + "\n> A message to quote.\n" + "> \n" * 100_000),
+        (1, 7, "On " + "x" * 200_000 + " wrote:\n> A message to quote.\nOn Tue, A B wrote:\n"),
+    ]
+    got = {r.turn: r for r in link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert [got[t].parent_turn for t in range(8)] == [None, 0, 0, None, None, 4, 0, 0]
+    assert got[2].text == "Then this." and got[5].text == "That was long." and got[6].text == "" and got[4].text == long
+    assert got[3].n_quoted == 2_999 and got[6].n_quoted == 100_001
+
+
+def test_positions_of_a_long_thread_and_of_many(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.llm.quote_links import with_positions
+
+    n = 50_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).cast("long").alias("root_turn"), F.lit("u").alias("role"), F.lit("x").alias("text"))
+    got = {r.turn: r.position for r in with_positions(df.repartition(7)).collect()}
+    order = sorted(range(n), key=lambda t: (0 if t % 3 == 0 else t, t))
+    assert all(got[t] == k for k, t in enumerate(order))

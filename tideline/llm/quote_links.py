@@ -3,19 +3,27 @@ messages then stand without quotes, in reply order."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import checkpointed, table
 
-#: Quote marks at the start of a line, and a line that introduces a quotation.
-MARKS = r"^(?:[ \t]*>)+"
+#: Quote marks at the start of a line, without a repeated group: the regular expressions of the JVM recurse into those.
+MARKS = r"^[ \t>]*>"
+#: A line that introduces a quotation.
 INTRODUCES = r"^(?:On|Am|Le|El|Il)\b.{1,300}\b(?:wrote|schrieb[^:\n]{0,80}|a écrit|escribió|ha scritto) ?:[ \t]*$"
-#: The SQL links a passage from so many letters and digits on; the operator links every one that has any.
-MIN_CHARS = 8
 #: Turns in one bucket of a conversation: the part of it that one task sorts.
 BUCKET = 1_024
+#: Characters that part passages; neither is a letter or digit.
+PART, TAG = "\x01", "\x02"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often inner lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _level(line: Column) -> Column:
@@ -23,16 +31,53 @@ def _level(line: Column) -> Column:
     return F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
 
 
+def _blank(text: Column) -> Column:
+    return F.length(F.translate(text, " \t", "")) == 0
+
+
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _passages(lines: Column, level: Column) -> Column:
-    """Normalised paragraphs and lines of one quote level; whatever lies on another level parts paragraphs."""
-    own = F.array_join(F.transform(lines, lambda x: F.when((_level(x) == level) & ~F.regexp_like(x, F.lit(INTRODUCES)), F.regexp_replace(x, MARKS + "[ \t]?", "")).otherwise(F.lit(""))), "\n")
-    parts = F.filter(F.split(own, r"\n[ \t]*(?=\n)"), lambda p: F.regexp_like(p, F.lit(r"[\p{L}\p{N}]")))
-    lone = F.flatten(F.transform(parts, lambda p: F.split(p, "\n")))
-    return F.array_distinct(F.filter(F.transform(F.concat(parts, lone), _normal), lambda p: F.length(p) > 0))
+def parsed(text: Column) -> Column:
+    """(level, body, intro) of each line: how many quote marks it has, what follows them, and whether it introduces a quotation."""
+
+    def line(x: Column) -> Column:
+        level = F.when(F.instr(x, ">") == 0, 0).otherwise(_level(x))
+        opens = F.substring(x, 1, 2).isin("On", "Am", "Le", "El", "Il")
+        return F.struct(level.alias("level"), F.when(level == 0, x).otherwise(F.regexp_replace(x, MARKS + "[ \t]?", "")).alias("body"), (opens & F.regexp_like(x, F.lit(INTRODUCES))).alias("intro"))
+
+    return F.transform(F.split(text, "\n"), line)
+
+
+def _passages(lines: Column) -> Column:
+    """(level, p) of the normalised paragraphs and lines; a blank or introducing line, or one of another level, parts paragraphs.
+
+    One pass over the lines: each line that begins a paragraph is marked, and the marked text is split again.
+    """
+    says = lambda s: ~s["intro"] & ~_blank(s["body"])
+
+    def marked(s: Column, k: Column, all_: Column) -> Column:
+        before = F.get(all_, k - 1)
+        goes_on = (k > 0) & says(before) & (before["level"] == s["level"])
+        body = F.translate(s["body"], PART + TAG, "  ")
+        return F.when(~says(s), "").when(F.coalesce(goes_on, F.lit(False)), body).otherwise(F.concat(F.lit(PART), s["level"].cast("string"), F.lit(TAG), body))
+
+    text = let(lines, lambda all_: F.array_join(F.transform(all_, lambda s, k: marked(s, k, all_)), "\n"))
+    parts = F.filter(F.split(text, PART), lambda p: F.instr(p, TAG) > 0)
+    return F.flatten(
+        F.transform(
+            F.transform(parts, lambda p: F.struct(F.substring_index(p, TAG, 1).cast("int").alias("level"), F.substring_index(p, TAG, -1).alias("body"))),
+            lambda s: F.transform(F.concat(F.array(s["body"]), F.split(s["body"], "\n")), lambda p: F.struct(s["level"].alias("level"), _normal(p).alias("p"))),
+        )
+    )
+
+
+def _own(lines: Column) -> Column:
+    """What a message says itself: its lines without quotes and introductions, runs of blank lines as one, none at the ends."""
+    kept = F.transform(F.filter(lines, lambda s: (s["level"] == 0) & ~s["intro"]), lambda s: s["body"])
+    text = let(kept, lambda all_: F.array_join(F.transform(F.filter(F.transform(all_, lambda x, k: F.struct(x.alias("x"), (~_blank(x)).alias("says"), F.coalesce((k > 0) & ~_blank(F.get(all_, k - 1)), F.lit(False)).alias("after"))), lambda s: s["says"] | s["after"]), lambda s: F.when(s["says"], s["x"]).otherwise("")), "\n"))
+    return F.regexp_replace(text, r"\n\z", "")
 
 
 def _before(units: DataFrame, key: list[str]) -> DataFrame:
@@ -54,13 +99,11 @@ def reply_parents(messages: DataFrame) -> DataFrame:
 
     The outermost quote level that links decides, then the quoted characters, then the later message.
     """
-    lines = F.split("text", "\n")
-    quoting = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", lines.alias("lines"))
-    quoting = quoting.withColumn("deepest", F.coalesce(F.array_max(F.transform("lines", _level)), F.lit(0)))
-    levels = quoting.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.col("deepest"))).alias("level"), "lines")
-    units = levels.select("conv_id", "turn", "level", F.explode(_passages(F.col("lines"), F.col("level"))).alias("p"))
-    units = units.select("conv_id", "turn", "level", F.xxhash64("p").alias("h"), F.length("p").alias("chars")).distinct()
-    found = _before(units, ["conv_id", "h"])
+    quoting = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    units = quoting.select("conv_id", "turn", F.inline(_passages(parsed(F.col("text"))))).where("length(p) > 0")
+    # two hashes, so that different passages of a conversation are told apart at any size
+    units = units.select("conv_id", "turn", "level", F.xxhash64("p").alias("h"), F.xxhash64(F.lit(1), "p").alias("g"), F.length("p").alias("chars")).distinct()
+    found = _before(units, ["conv_id", "h", "g"])
     votes = found.groupBy("conv_id", "turn", "level", "source").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
     return votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "chars", "source")).getField("source").alias("parent_turn"), F.sum("n").alias("n_linked"))
 
@@ -80,11 +123,11 @@ def thread_roots(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, parent_turn, root_turn, position, n_quoted, n_linked, text) of each row of `messages`.
 
-    text is the message without quoted lines and the lines that introduce them; one without quotes is unchanged. A message
+    text is the message without quoted lines and the lines that introduce them, its runs of blank lines as one; one without quotes is unchanged. A message
     that quotes nothing known starts a thread. position counts from 0 within a conversation: threads by their first turn,
     each thread by turn, which puts every reply after what it answers. Null texts stay null and quote nothing. Rows with
     a null conv_id or turn have no links and a null position. Rows that repeat a turn share its links; an empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read. Texts are read whole, in time in proportion to their length, whatever they nest.
     """
     slim = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     parents = checkpointed(reply_parents(slim))
@@ -92,19 +135,28 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         parents = parents.join(thread_roots(parents), ["conv_id", "turn"])
     else:
         parents = parents.withColumn("root_turn", F.col("parent_turn"))
-    lines = F.split("text", "\n")
-    n_quoted = F.coalesce(F.size(F.filter(lines, lambda x: _level(x) > 0)), F.lit(0)).cast("long")
-    own = F.array_join(F.filter(lines, lambda x: (_level(x) == 0) & ~F.regexp_like(x, F.lit(INTRODUCES))), "\n")
-    own = F.regexp_replace(F.regexp_replace(own, r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", ""), r"\n(?:[ \t]*\n)+", "\n\n")
-    out = slim.join(parents, ["conv_id", "turn"], "left").withColumn("n_quoted", n_quoted).withColumn("n_linked", F.coalesce("n_linked", F.lit(0)))
-    out = out.withColumn("text", F.when(F.col("n_quoted") > 0, own).otherwise(F.col("text"))).withColumn("root_turn", F.coalesce("root_turn", "turn"))
-    # positions are counted in buckets of threads, and counts of earlier buckets are added
-    out = out.withColumn("__b", F.floor(F.col("root_turn") / BUCKET))
-    before = W.Window.partitionBy("conv_id").orderBy("__b").rowsBetween(W.Window.unboundedPreceding, -1)
-    base = out.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "__b").count().select("conv_id", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    here = F.row_number().over(W.Window.partitionBy("conv_id", "__b").orderBy("root_turn", "turn", "role", "text"))
-    out = out.withColumn("__own", here).join(base, ["conv_id", "__b"], "left").withColumn("position", F.col("__base") + F.col("__own") - 1)
-    return out.select("conv_id", "turn", "role", "parent_turn", "root_turn", "position", "n_quoted", "n_linked", "text")
+    out = slim.join(parents, ["conv_id", "turn"], "left").withColumn("__lines", parsed(F.col("text")))
+    out = out.withColumn("n_quoted", F.coalesce(F.size(F.filter("__lines", lambda s: s["level"] > 0)), F.lit(0)).cast("long")).withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
+    out = out.withColumn("text", F.when(F.col("n_quoted") > 0, _own(F.col("__lines"))).otherwise(F.col("text"))).withColumn("root_turn", F.coalesce("root_turn", "turn"))
+    return with_positions(out.drop("__lines")).select("conv_id", "turn", "role", "parent_turn", "root_turn", "position", "n_quoted", "n_linked", "text")
+
+
+def with_positions(messages: DataFrame) -> DataFrame:
+    """Add `position`: how many rows of the conversation stand before, by (root_turn, turn, role, text).
+
+    Rows are numbered in cells of a thread's turns; cells are added up within buckets of threads, and buckets within
+    conversations, so that neither a long conversation nor a long thread is sorted by one task.
+    """
+    out = messages.withColumn("__c", F.floor(F.col("turn") / BUCKET))
+    cells = out.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "root_turn", "__c").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("__b", F.floor(F.col("root_turn") / BUCKET))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    buckets = cells.groupBy("conv_id", "__b").agg(F.sum("n").alias("n"))
+    buckets = buckets.select("conv_id", "__b", earlier(W.Window.partitionBy("conv_id").orderBy("__b")).alias("__base"))
+    cells = cells.withColumn("__before", earlier(W.Window.partitionBy("conv_id", "__b").orderBy("root_turn", "__c"))).join(buckets, ["conv_id", "__b"])
+    cells = cells.select("conv_id", "root_turn", "__c", (F.col("__base") + F.col("__before")).alias("__first"))
+    here = F.row_number().over(W.Window.partitionBy("conv_id", "root_turn", "__c").orderBy("turn", "role", "text"))
+    return out.withColumn("__own", here).join(cells, ["conv_id", "root_turn", "__c"], "left").withColumn("position", F.col("__first") + F.col("__own") - 1).drop("__c", "__own", "__first")
 
 
 def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,24 +166,24 @@ def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same from lines, islands of lines, pairs of passages and chains of replies."""
-    marks = r"'^(?:[ \t]*>)+'"
+    marks = r"'^[ \t>]*>'"
     normal = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     return rf"""
 WITH RECURSIVE l AS (
   SELECT conv_id, turn, i, x, length(regexp_extract(x, {marks})) - length(replace(regexp_extract(x, {marks}), '>', '')) AS level, regexp_matches(x, '{INTRODUCES}') AS intro
   FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
-b AS (SELECT *, CASE WHEN level > 0 THEN regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', '') ELSE x END AS body FROM l WHERE NOT intro),
+b AS (SELECT *, CASE WHEN level > 0 THEN regexp_replace(x, '^[ \t>]*>[ \t]?', '') ELSE x END AS body FROM l WHERE NOT intro),
 o AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS island FROM b WHERE trim(body, ' ' || chr(9)) <> ''),
 u AS (SELECT DISTINCT * FROM (
   SELECT conv_id, turn, level, {normal.format("string_agg(body, ' ' ORDER BY i)")} AS p FROM o GROUP BY conv_id, turn, level, island
-  UNION ALL SELECT conv_id, turn, level, {normal.format("body")} FROM o) WHERE length(p) >= {MIN_CHARS}),
+  UNION ALL SELECT conv_id, turn, level, {normal.format("body")} FROM o) WHERE length(p) > 0),
 s AS (SELECT q.conv_id, q.turn, q.level, q.p, max(a.turn) AS source FROM u q JOIN u a ON a.conv_id = q.conv_id AND a.p = q.p AND a.level = 0 AND a.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
 v AS (SELECT conv_id, turn, level, source, sum(length(p)) AS chars, count(*) AS n FROM s GROUP BY ALL),
 p AS (SELECT conv_id, turn, source AS parent_turn, n_linked FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, source DESC) AS k FROM v) WHERE k = 1),
 r AS (SELECT conv_id, turn, parent_turn AS above FROM p UNION SELECT r.conv_id, r.turn, p.parent_turn FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.above),
 q AS (SELECT conv_id, turn, count(*) FILTER (level > 0) AS n_quoted, string_agg(x, chr(10) ORDER BY i) FILTER (level = 0 AND NOT intro) AS own FROM l GROUP BY 1, 2),
 t AS (SELECT c.conv_id, c.turn, c.role, p.parent_turn, coalesce(root.root_turn, c.turn) AS root_turn, coalesce(q.n_quoted, 0) AS n_quoted, CAST(coalesce(p.n_linked, 0) AS BIGINT) AS n_linked,
-  CASE WHEN q.n_quoted > 0 THEN regexp_replace(regexp_replace(coalesce(q.own, ''), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g'), '\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g') ELSE c.text END AS text
+  CASE WHEN q.n_quoted > 0 THEN regexp_replace(regexp_replace(regexp_replace(coalesce(q.own, ''), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g'), '\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), '^[ \t]+$', '') ELSE c.text END AS text
   FROM conversations c LEFT JOIN q USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn, min(above) AS root_turn FROM r GROUP BY 1, 2) root USING (conv_id, turn))
 SELECT conv_id, turn, role, parent_turn, root_turn, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn, turn, role, text) - 1 AS position, n_quoted, n_linked, md5(text) AS text_md5 FROM t"""
 
