@@ -52,3 +52,40 @@ def test_odd_vectors(spark):
     assert nearest(df.limit(0)).count() == 0
     few = nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")).collect()
     assert [tuple(r) for r in few] == [(0, 1, 1, 2.0)]
+
+
+def test_recall_over_several_shards_and_rows_scored(spark):
+    from tideline.llm.vector_forest import Forest, ForestParams, nearest
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    want = brute(rows)
+    got: dict = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), params=ForestParams(shard=len(rows) // 5)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) / (20 * len(want)) >= 0.9
+    rng = np.random.default_rng(3)  # clustered vectors: the ascent ends early, and only what it found is scored
+    centres = rng.standard_normal((40, 64))
+    x = np.repeat(centres, 100, axis=0) + 0.1 * rng.standard_normal((4000, 64))
+    forest = Forest(x, ForestParams())
+    near = forest.nearest(x[::100], 200, 20)
+    assert forest.scored < 0.25 * 40 * len(x)
+    hits = [len(set(f.tolist()) & set(np.argsort(-(x @ q))[:20].tolist())) for f, q in zip(near, x[::100])]
+    assert sum(hits) / (20 * len(hits)) >= 0.9
+
+
+def test_large_and_small_components(spark):
+    from tideline.llm.vector_forest import nearest
+
+    rng = np.random.default_rng(5)
+    rows = [(i, (v * s).tolist()) for s, base in ((1e200, 0), (1e-200, 1000), (1.0, 2000)) for i, v in enumerate(rng.standard_normal((40, 3)), base)]
+    rows += [(3000, [1.7e308, 1.7e308, -1.7e308]), (3001, [1.7e308, -1.7e308, 1.0]), (3002, [5e-324, 0.0, 0.0])]
+    got: dict = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    for x in got.values():
+        x.sort()
+        assert [r for r, *_ in x] == list(range(1, 21))
+        assert [(-s, i) for _, i, s in x] == sorted((-s, i) for _, i, s in x)
+    exact = dict(rows)
+    assert all(s == math.fsum(a * b for a, b in zip(exact[2000], exact[i])) for _, i, s in got[2000] if math.isfinite(s))

@@ -1,8 +1,9 @@
 """Nearest neighbours by a hash-prefix forest: per tree a sorted array of long hash strings; a query descends to its longest
 matching prefixes, then all trees ascend together, one bit at a time, until enough candidates are found.
 
-Rows are dealt to shards by their hash; each shard holds a forest over its rows, all queries stream through every shard,
-and the shards' best are merged. Equal vectors are one class, so a vector that many rows share costs what one row costs.
+Rows are dealt to shards by their hash; each shard holds a forest over its rows, the queries stream through every shard in
+blocks, and the shards' best are merged. Only a query's candidates are scored. Equal vectors are one class, so a vector that
+many rows share costs what one row costs.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ class ForestParams:
     """trees, bits: hash strings. sample, sample_queries: bounds of the sample on which `share` is fitted, the part of a
     shard's rows at which the ascent ends, so that this recall is reached there. shard: classes in a shard, about."""
 
-    trees: int = 24
+    trees: int = 48
     bits: int = 32
     seed: int = 17
-    recall: float = 0.96
+    recall: float = 0.95
     sample: int = 8_192
     sample_queries: int = 200
     shard: int = 16_384
@@ -36,11 +37,37 @@ class ForestParams:
     shares: tuple[float, ...] = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 1.0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two near their largest component, so that no product overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
+def inner(a: np.ndarray, b: np.ndarray) -> float:
+    """The exactly rounded sum of the rounded products; infinite only where it is too large for a double."""
+    with np.errstate(over="ignore"):
+        products = a * b
+    if np.isfinite(products).all():
+        try:
+            return math.fsum(products.tolist())
+        except OverflowError:
+            pass
+    i, j = (int(np.frexp(np.abs(x).max())[1]) for x in (a, b))
+    s = math.fsum((np.ldexp(a, -i) * np.ldexp(b, -j)).tolist())
+    try:
+        return math.ldexp(s, i + j)
+    except OverflowError:
+        return math.copysign(math.inf, s)
+
+
 class Forest:
-    """Sorted arrays of the rows' hash strings. Inner products become angles by one more coordinate (0 for queries)."""
+    """Sorted arrays of the rows' hash strings. Inner products become angles by one more coordinate (0 for queries).
+
+    Rows are held divided by one power of two, which changes no order. `scored` counts the rows that were compared.
+    """
 
     def __init__(self, x: np.ndarray, p: ForestParams) -> None:
-        self.p, self.x = p, x
+        self.p, self.scored = p, 0
+        self.x = x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
         rng = np.random.default_rng((p.seed, x.shape[1]))
         self.planes = rng.standard_normal((x.shape[1] + 1, p.trees * p.bits))
         norms = np.sqrt((x * x).sum(1))
@@ -56,7 +83,7 @@ class Forest:
     def candidates(self, q: np.ndarray, want: int) -> Iterator[np.ndarray]:
         """For each query a mask of the rows that share its prefix in some tree, at the longest length where these are `want` or more."""
         p, n = self.p, len(self.x)
-        keys = self._keys(np.column_stack([q, np.zeros(len(q))]))
+        keys = self._keys(np.column_stack([scaled(q), np.zeros(len(q))]))
         lo = np.empty((p.bits + 1, p.trees, len(q)), np.int64)
         hi = np.empty_like(lo)
         for t in range(p.trees):
@@ -79,12 +106,13 @@ class Forest:
 
     def nearest(self, q: np.ndarray, want: int, k: int) -> list[np.ndarray]:
         """Rows of the k largest inner products among each query's candidates; more where the last ones tie."""
-        score = q @ self.x.T
+        q = scaled(q)
         out = []
         for i, mask in enumerate(self.candidates(q, want)):
             rows = np.flatnonzero(mask)
-            s = score[i, rows]
+            self.scored += len(rows)
             if len(rows) > k:
+                s = self.x[rows] @ q[i]
                 least = np.partition(s, len(s) - k)[len(s) - k]
                 rows = rows[s >= least - 1e-12 * max(1.0, abs(least))]
             out.append(rows)
@@ -96,7 +124,8 @@ def fit_share(x: np.ndarray, k: int, p: ForestParams) -> float:
     if len(x) < 4 * k:
         return 1.0
     nq = min(p.sample_queries, len(x) // 2)
-    score = x[:nq] @ x.T
+    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+    score = scaled(x[:nq]) @ x.T
     score[np.arange(nq), np.arange(nq)] = -np.inf
     best = np.argpartition(-score, k, axis=1)[:, :k]
     forest = Forest(x, p)
@@ -133,7 +162,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, params: ForestPara
 
     Vectors null, empty, zero or with null or non-finite components, and rows with a null id, take no part. Only vectors
     of one length are compared. Rows that repeat an id with the same vector count once; an id with several vectors stands
-    for each of them. Scores are exactly rounded sums of the exact products; ties go to the smaller id. Fewer than k
+    for each of them. Scores are exactly rounded sums of products, and infinite where no double holds them; ties go to the smaller id. Fewer than k
     candidates are all returned. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
@@ -171,7 +200,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, params: ForestPara
                 q = np.array([np.frombuffer(r["vec"]) for r in todo])
                 for r, near in zip(todo, forest.nearest(q, math.ceil(share[now[0]] * len(held)), k + p.spare)):
                     v = np.frombuffer(r["vec"])
-                    exact = [(math.fsum((v * forest.x[j]).tolist()), held[j]["ids"]) for j in near]
+                    exact = [(inner(v, np.frombuffer(held[j]["vec"])), held[j]["ids"]) for j in near]
                     best = sorted(((-s, i) for s, ids in exact for i in ids))[: k + 1]
                     out.append((r["class"], [i for _, i in best], [-s for s, _ in best]))
                 todo.clear()
