@@ -1,17 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-A text is the sequence of its words, parted by single spaces, between a start and an end mark, and n-grams cross words: each
-word stands with the characters before it that its n-grams reach, so a bag of such items holds every n-gram of the text as
-often as it stands there. (Without `across` a word has marks of its own, and no n-gram leaves it.) Texts are packed into
-bags of items, below called words, by units of documents. Trusted units give counts, and joins of their shards level by level give
-each seen n-gram its probability. Units send each n-gram that they hold once to the shard that owns it; what the model has
-not seen backs off by joins with shorter ones, and the answers go back to the units, which score every word once and
-every document by its bag. A document passes if its perplexity is within its language's quantile among trusted ones.
+A text is the sequence of its words, parted by single spaces, between a start and an end mark, and n-grams run across words.
+Documents are packed into units: their compressed texts and the distinct n-grams in them, with how often trusted documents
+of the unit hold each. Units send their n-grams packed to the shards that own them, which add the counts up; joins of the
+shards' tables level by level give each seen n-gram its probability, and what the model has not seen backs off by joins with
+shorter ones. The shards' answers go back to the units, which score every character of every document. One trusted document
+in `held_out` is not counted: a document passes if its perplexity is within its language's quantile among those.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,210 +19,220 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, partitions, small_batches, table, trim
+from .common import checkpointed, mix, partitions, small_batches, table, trim
 
-#: Marks of a word's start and end, and of a text's start, which no character precedes; no word holds white space.
-START, END, FIRST = " ", "\n", "\r"
-#: Ids in one range, and entries at which a task's open units are written, to bound their memory.
-RANGE_BITS = 13
-RANGE, OPEN_ENTRIES = 1 << RANGE_BITS, 2_500_000
+#: Marks of a text's end and start, and what fills an n-gram that reaches beyond the start; no word holds white space.
+END, FIRST, PAD = "\n", "\r", "\v"
+#: Characters at which a unit is written, and of which n-grams are computed at once: both bound a task's memory.
+UNIT_CHARS, CHUNK_CHARS = 8_000_000, 2_000_000
 #: Perplexities are compared by their logarithm in steps of this size, so that a histogram has a bounded number of bins.
 STEP = 0.001
 #: Discounts from counts of counts are kept from this up: short n-grams have few of them, and a discount of 0 would leave
 #: nothing for what was not seen.
 LEAST_DISCOUNT = 0.1
+#: What a document is to the model.
+UNTRUSTED, TRAINS, HELD_OUT = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class ModelParams:
-    """order: characters in an n-gram. quantile: of trusted documents of a language that pass; slack: added to its threshold.
-    across: n-grams cross the spaces between words."""
+    """order: characters in an n-gram. quantile: of held-out trusted documents of a language that pass. held_out: one
+    trusted document in so many sets the thresholds instead of being counted."""
 
     order: int = 5
     quantile: float = 0.995
-    slack: float = 0.1
-    across: bool = False
+    held_out: int = 10
+
+
+def marked(text: str | None, order: int) -> tuple[str, int]:
+    """A text's words between marks, and their number; nothing if there are none. U+0000 stands for no character, so it becomes U+FFFD."""
+    words = (text or "").replace("\0", "\ufffd").split()
+    return (PAD * (order - 1) + FIRST + " ".join(words) + END, len(words)) if words else ("", 0)
+
+
+class Keys:
+    """N-grams of a unit's text as numbers or bytes that sort, by the characters that the text has."""
+
+    def __init__(self, text: str, order: int) -> None:
+        self.order = order
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.alphabet = np.concatenate(([0], np.flatnonzero(np.bincount(self.codes, minlength=1)))).astype("<u4")
+        pad = np.searchsorted(self.alphabet, ord(PAD))
+        if pad < len(self.alphabet) and self.alphabet[pad] == ord(PAD):
+            self.alphabet = np.delete(self.alphabet, pad)
+        self.base = len(self.alphabet)
+        self.number = np.zeros(int(self.alphabet[-1]) + 1, np.int64)
+        self.number[self.alphabet] = np.arange(self.base)
+        self.small = self.base**order < 2**63
+
+    def chunks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, keys, which count): the n-gram that ends at each character; marks of a start count for none."""
+        for a in range(0, len(self.codes), CHUNK_CHARS):
+            b = min(a + CHUNK_CHARS, len(self.codes))
+            lead = min(a, self.order - 1)
+            part = self.codes[a - lead : b]
+            part = np.concatenate((np.full(self.order - 1 - lead, ord(PAD), "<u4"), part))
+            part = np.where(part == ord(PAD), 0, part).astype("<u4")
+            windows = [part[k : k + b - a] for k in range(self.order)]
+            yield a, b, self.keys(windows), (windows[-1] != 0) & (windows[-1] != ord(FIRST))
+
+    def keys(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Keys of n-grams given by their characters' columns; 0 where a short one has none."""
+        if not self.small:
+            return as_bytes(np.stack(columns, axis=1))
+        out = self.number[columns[0]]
+        for c in columns[1:]:
+            out *= self.base
+            out += self.number[c]
+        return out
+
+    def grams(self, keys: np.ndarray) -> np.ndarray:
+        """The characters of keys, a row for each."""
+        if not self.small:
+            return keys.view(">u4").reshape(-1, self.order).astype("<u4")
+        out = np.empty((len(keys), self.order), "<u4")
+        for k in range(self.order - 1, -1, -1):
+            keys, digit = np.divmod(keys, self.base)
+            out[:, k] = self.alphabet[digit]
+        return out
+
+
+def as_bytes(grams: np.ndarray) -> np.ndarray:
+    """Rows of characters as byte strings that sort like them."""
+    return np.ascontiguousarray(grams.astype(">u4")).view(f"S{4 * grams.shape[1]}").ravel()
+
+
+def from_bytes(keys: np.ndarray, order: int) -> np.ndarray:
+    return np.ascontiguousarray(keys).view(">u4").reshape(-1, order).astype("<u4")
+
+
+def owner_of(grams: np.ndarray, owners: int) -> np.ndarray:
+    """The shard of each row of characters."""
+    h = np.zeros(len(grams), np.uint64)
+    for k in range(grams.shape[1]):
+        h = mix(h + grams[:, k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (h % np.uint64(owners)).astype(np.int64)
+
+
+def as_texts(grams: np.ndarray) -> list[str]:
+    """Rows of characters as strings; a short n-gram has zeros before it."""
+    out = np.zeros_like(grams)
+    lead = (grams == 0).sum(1)
+    for z in range(grams.shape[1]):
+        at = lead == z
+        out[at, : grams.shape[1] - z] = grams[at, z:]
+    return np.ascontiguousarray(out.astype("<u4")).view(f"<U{grams.shape[1]}").ravel().tolist()
+
+
+def from_texts(texts: list[str], order: int) -> np.ndarray:
+    flat = np.array(texts, f"<U{order}").view("<u4").reshape(-1, order)
+    out = np.zeros_like(flat)
+    length = (flat != 0).sum(1)
+    for n in range(1, order + 1):
+        at = length == n
+        out[at, order - n :] = flat[at, :n]
+    return out
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in their order, and the sums of their counts."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at.ravel(), weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
 
 
-#: The model of the query and of the pipeline.
-WHOLE = ModelParams(across=True)
+def _pack(data: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
-def bag_of(text: str | None, order: int, across: bool) -> Counter:
-    """How often each word stands in a text, with what is before it and the mark after it."""
-    words = (text or "").split()
-    if not across:
-        return Counter({START + w + END: n for w, n in Counter(words).items()})
-    reach, item, out = max(order - 1, 1), FIRST, []
-    for w in words:
-        item = f"{item[-reach:]}{w}{START}"
-        out.append(item)
-    if out:
-        out[-1] = out[-1][:-1] + END
-    return Counter(out)
 
+def _unpack(data: bytes) -> bytes:
+    import zstandard
 
-def _begin(item: str) -> int:
-    """Where the word of an item begins."""
-    return max(item.rfind(START, 0, -1), item.rfind(FIRST, 0, -1)) + 1
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def grams(item: str, order: int) -> list[str]:
-    """The n-gram of each character of an item's word and of the mark after it: as many characters before it as the order and the item have."""
-    return [item[max(0, i - order) : i] for i in range(_begin(item) + 1, len(item) + 1)]
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers with their bytes of like weight side by side, which packs better."""
+    flat = np.ascontiguousarray(x, kind).reshape(-1)
+    return _pack(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes())
 
 
-UNIT = "unit long, range long, kind int, owner int, ids array<long>, langs array<string>, sizes array<int>, words binary, places binary, counts binary, grams binary, cuts array<int>"
-UNIT_NAMES = [x.split()[0] for x in UNIT.split(", ")]
-UNIT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.list_(pa.int32())]
-#: Parts two n-grams in a packed list: a word holds no tab.
-TAB = "\t"
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_unpack(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _pack(data: bytes) -> bytes:
-    import zstandard
+def _pack_grams(grams: np.ndarray) -> bytes:
+    return _planes(grams.T, "<u4")
 
-    return zstandard.ZstdCompressor(level=3).compress(data)
 
+def _unpack_grams(data: bytes, order: int) -> np.ndarray:
+    return np.ascontiguousarray(_from_planes(data, "<u4").reshape(order, -1).T)
 
-def _grams(data: bytes) -> list[str]:
-    """A packed list of n-grams."""
-    import zstandard
 
-    text = zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
-    return text.split(TAB) if text else []
-
-
-def _packed(found: list[str]) -> bytes:
-    return _pack(TAB.join(found).encode("utf-8", "surrogatepass"))
-
-
-def _owned(found: set[str], owners: int) -> tuple[list[str], list[int]]:
-    """N-grams in the order of their owners, and where each owner's begin and end."""
-    from zlib import crc32
-
-    by: list[list[str]] = [[] for _ in range(owners)]
-    for g in found:
-        by[crc32(g.encode("utf-8", "surrogatepass")) % owners].append(g)
-    return [g for x in by for g in sorted(x)], np.cumsum([0, *map(len, by)]).tolist()
-
-
-class _Unit:
-    """Bags of words of some documents, with a word list of their own."""
-
-    def __init__(self) -> None:
-        self.vocabulary: dict[str, int] = {}
-        self.ids: list = []
-        self.langs: list = []
-        self.places: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-
-    def add(self, doc_id, lang, bag: Counter) -> int:
-        v = self.vocabulary
-        n = len(bag)
-        self.ids.append(doc_id)
-        self.langs.append(lang)
-        self.places.append(np.fromiter((v.setdefault(w, len(v)) for w in bag), np.int32, n))
-        self.counts.append(np.fromiter(bag.values(), np.int32, n))
-        return n
-
-    def row(self, unit: int, range_: int | None, order: int, owners: int) -> tuple:
-        """Packed: frequent words have small numbers, and a bag is the sorted steps between them."""
-        often = np.bincount(np.concatenate(self.places), minlength=len(self.vocabulary)) if self.vocabulary else np.zeros(0, np.int64)
-        rank = np.argsort(-often, kind="stable")
-        number = np.empty(len(rank), np.int32)
-        number[rank] = np.arange(len(rank), dtype=np.int32)
-        words = list(self.vocabulary)
-        places, counts = [], []
-        for p, c in zip(self.places, self.counts):
-            p = number[p]
-            by = np.argsort(p)
-            places.append(np.diff(p[by], prepend=np.int32(0)))
-            counts.append(c[by])
-        found: set[str] = set()
-        for w in words:
-            found.update(grams(w, order))
-        listed, cuts = _owned(found, owners)
-        flat = lambda x: _pack(np.concatenate(x).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() if x else b"")  # noqa: E731  bytes of like weight side by side pack better
-        return unit, range_, 1, None, self.ids, self.langs, [len(p) for p in places], _pack(TAB.join(words[i] for i in rank.tolist()).encode("utf-8", "surrogatepass")), flat(places), flat(counts), _packed(listed), cuts
+#: kind 0: an owner's answer, `grams` its logarithms; kind 1: a unit.
+UNIT = "unit long, kind int, owner int, ids array<long>, langs array<string>, texts array<long>, states array<int>, sizes array<int>, words array<int>, text binary, grams binary, counts binary, cuts array<int>"
+UNIT_NAMES = [x.split()[0] for x in UNIT.split(", ")]
+UNIT_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, *[pa.binary()] * 3, pa.list_(pa.int32())]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), UNIT_TYPES)], UNIT_NAMES)
 
 
-def _unpack(row: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, word numbers, their counts, end of each document) of a unit's row."""
-    import zstandard
-
-    get = lambda x: zstandard.ZstdDecompressor().decompress(row[x])
-    words = get("words").decode("utf-8", "surrogatepass").split(TAB)
-    whole = lambda x: np.ascontiguousarray(np.frombuffer(get(x), np.uint8).reshape(4, -1).T).reshape(-1).view("<i4")
-    steps, counts = whole("places").astype(np.int64), whole("counts")
-    ends = np.cumsum(row["sizes"], dtype=np.int64)
-    if len(steps):
-        total = np.cumsum(steps)
-        starts = ends - row["sizes"]
-        has = np.asarray(row["sizes"]) > 0
-        first = starts[has]
-        total = total - np.repeat(total[first] - steps[first], np.asarray(row["sizes"])[has])
-    else:
-        total = steps
-    return words, total, counts, ends
-
-
-def word_bags(docs: DataFrame, order: int, owners: int, across: bool) -> DataFrame:
-    """Units of documents whose ids lie in one range, as packed bags of words, with the n-grams that they hold."""
+def _unit(number: int, docs: list[tuple], order: int, owners: int) -> tuple:
+    """A unit's row from (id, lang, text hash, state, marked text, words) of its documents."""
+    ids, langs, hashes, states, texts, words = zip(*docs)
+    text = "".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int32)
+    grams, counts, cuts = np.zeros((0, order), "<u4"), np.zeros(0, np.int64), np.zeros(owners + 1, np.int64)
+    if text:
+        k = Keys(text, order)
+        trains = np.repeat(np.array(states) == TRAINS, sizes)
+        keys, many = [], []
+        for a, b, key, is_one in k.chunks():
+            for x, n in (np.unique(key[is_one & trains[a:b]], return_counts=True), (np.unique(key[is_one & ~trains[a:b]]), None)):
+                keys.append(x)
+                many.append(np.zeros(len(x), np.int64) if n is None else n)
+        found, counts = _summed(keys, many)
+        grams = k.grams(found)
+        owner = owner_of(grams, owners)
+        by = np.argsort(owner, kind="stable")
+        grams, counts, cuts = grams[by], counts[by], np.searchsorted(owner[by], np.arange(owners + 1))
+    return number, 1, None, ids, langs, hashes, states, sizes.tolist(), words, _pack(text.encode("utf-8", "surrogatepass")), _pack_grams(grams), _planes(counts, "<i8"), cuts.tolist()
+
+
+def text_units(docs: DataFrame, trusted: DataFrame, params: ModelParams, owners: int) -> DataFrame:
+    """Units of documents; `trusted` has the distinct doc_id of those that train or are held out."""
+    order = params.order
     small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64("text").alias("hash"), "text")
+    slim = slim.withColumn("__k", F.coalesce("doc_id", "hash"))  # rows without an id are dealt by their texts
+    marks = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__k"), F.when(F.pmod(F.xxhash64("doc_id"), F.lit(params.held_out)) == 0, HELD_OUT).otherwise(TRAINS).alias("state"))
+    slim = slim.join(marks, "__k", "left").select("doc_id", "lang", "hash", F.when(F.col("doc_id").isNotNull(), F.col("state")).alias("state"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        open_: dict[int | None, _Unit] = {}
-        entries = 0
+        open_, size = [], 0
         for batch in batches:
-            for i, g, t in zip(*(c.to_pylist() for c in batch.columns)):
-                at = None if i is None else i // RANGE
-                entries += open_.setdefault(at, _Unit()).add(i, g, bag_of(t, order, across))
-                if entries >= OPEN_ENTRIES or len(open_[at].ids) >= 2 * RANGE:
-                    for r, u in open_.items():
-                        yield _batch([u.row(number, r, order, owners)])
-                        number += 1
-                    open_, entries = {}, 0
-        for r, u in open_.items():
-            yield _batch([u.row(number, r, order, owners)])
-            number += 1
-        open_.clear()
+            for i, g, h, state, t in zip(*(c.to_pylist() for c in batch.columns)):
+                text, n = marked(t, order)
+                open_.append((i, g, h, state or UNTRUSTED, text, n))
+                size += len(text)
+                if size >= UNIT_CHARS or len(open_) >= UNIT_CHARS // 64:
+                    yield _batch([_unit(number, open_, order, owners)])
+                    number, open_, size = number + 1, [], 0
+        if open_:
+            yield _batch([_unit(number, open_, order, owners)])
         trim()
 
     return slim.mapInArrow(pack, UNIT)
 
 
-def trusted_counts(bags: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
-    """(gram, c) over the trusted documents; `trusted` has their doc_id."""
-    marks = trusted.where("doc_id IS NOT NULL").select(F.shiftright("doc_id", RANGE_BITS).alias("range"), F.col("doc_id").cast("long").alias("doc_id"))
-    marks = marks.groupBy("range").agg(F.collect_set("doc_id").alias("trusted"))  # RANGE ids at most
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                words, place, many, ends = _unpack(r)
-                good = np.isin(np.array([-1 if i is None else i for i in r["ids"]], np.int64), np.array(r["trusted"], np.int64)) & np.array([i is not None for i in r["ids"]])
-                each = np.repeat(good, r["sizes"])
-                total = np.bincount(place[each], weights=many[each], minlength=len(words)).astype(np.int64)
-                found: dict[str, int] = {}
-                for k in np.flatnonzero(total).tolist():
-                    c = int(total[k])
-                    for g in grams(words[k], order):
-                        found[g] = found.get(g, 0) + c
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "c"])
-
-    return bags.join(marks, "range").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
 def model_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, float]:
     """((gram, value) of seen n-grams, (h, left) of their histories, probability of an unseen character).
 
@@ -278,64 +286,100 @@ def backed_off(asked: DataFrame, values: DataFrame, histories: DataFrame, unseen
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
-    """(doc_id, lang, n_words, log_ppl) of each row: natural logarithm of the perplexity for a character; null without words."""
+    """(doc_id, lang, hash, state, n_words, log_ppl) of each row: natural logarithm of the perplexity for a character; null without words."""
     order, owners = params.order, partitions(docs.sparkSession)
-    bags = checkpointed(word_bags(docs, order, owners, params.across))
-    counts = checkpointed(trusted_counts(bags, trusted.select("doc_id").distinct(), order))
-    values, histories, unseen = model_tables(counts, order)
+    units = checkpointed(text_units(docs, trusted, params, owners))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                listed, cuts = _grams(r["grams"]), r["cuts"]
+                grams, counts, cuts = _unpack_grams(r["grams"], order), _from_planes(r["counts"], "<i8"), r["cuts"]
                 at = [k for k in range(owners) if cuts[k] < cuts[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r["unit"]] * len(at), pa.int64()), pa.array([_packed(listed[cuts[k] : cuts[k + 1]]) for k in at], pa.binary())], ["owner", "unit", "grams"])
+                part = [slice(cuts[k], cuts[k + 1]) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r["unit"]] * len(at), pa.int64()), pa.array([_pack_grams(grams[p]) for p in part], pa.binary()), pa.array([_planes(counts[p], "<i8") for p in part], pa.binary())], ["owner", "unit", "grams", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each owner's n-grams, with the sums of their counts; owners come one after the other."""
+        now, keys, counts = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if keys:
+                found, many = _summed(keys, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(as_texts(from_bytes(found, order)), pa.string()), pa.array(many, pa.int64())], ["gram", "c"])
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, set[str]] = {}
         for batch in batches:
-            for owner, grams_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                found.setdefault(owner, set()).update(_grams(grams_))
-        for owner in list(found):
-            mine = found.pop(owner)
-            yield pa.RecordBatch.from_arrays([pa.array([owner] * len(mine), pa.int32()), pa.array(list(mine), pa.string())], ["owner", "gram"])
+            for owner, _, g, c in zip(*(c.to_pylist() for c in batch.columns)):
+                if owner != now:
+                    yield from out()
+                    now, keys, counts = owner, [], []
+                keys.append(as_bytes(_unpack_grams(g, order)))
+                counts.append(_from_planes(c, "<i8"))
+                if len(keys) >= 64:  # merged now and then, so that memory follows what is distinct
+                    merged = _summed(keys, counts)
+                    keys, counts = [merged[0]], [merged[1]]
+        yield from out()
 
     def asking() -> DataFrame:
-        return bags.select("unit", "grams", "cuts").mapInArrow(ask, "owner int, unit long, grams binary")
+        return units.select("unit", "grams", "counts", "cuts").mapInArrow(ask, "owner int, unit long, grams binary, counts binary")
 
-    named = asking().repartition(owners, "owner").mapInArrow(distinct, "owner int, gram string")
-    scored = checkpointed(backed_off(named.select("gram"), values, histories, unseen, order))
+    counted = checkpointed(asking().repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(add, "gram string, c long"))
+    values, histories, unseen = model_tables(counted.where("c > 0"), order)
+    scored = checkpointed(backed_off(counted.select("gram"), values, histories, unseen, order))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zlib import crc32
-
         for batch in batches:
-            names, logs = batch.column(0).to_pylist(), np.log(np.array(batch.column(1).to_pylist(), np.float64))
-            by: dict[int, list[int]] = {}
-            for i, g in enumerate(names):
-                by.setdefault(crc32(g.encode("utf-8", "surrogatepass")) % owners, []).append(i)
-            at = list(by)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([None] * len(at), pa.int64()), pa.array([_packed([names[i] for i in by[k]]) for k in at], pa.binary()), pa.array([logs[by[k]].tobytes() for k in at], pa.binary())], ["owner", "unit", "grams", "logs"])
+            if not batch.num_rows:
+                continue
+            grams, logs = from_texts(batch.column(0).to_pylist(), order), np.log(np.array(batch.column(1).to_pylist(), np.float64))
+            owner = owner_of(grams, owners)
+            by = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[by], np.arange(owners + 1))
+            at = [k for k in range(owners) if cuts[k] < cuts[k + 1]]
+            part = [by[cuts[k] : cuts[k + 1]] for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([None] * len(at), pa.int64()), pa.array([_pack_grams(grams[p]) for p in part], pa.binary()), pa.array([logs[p].astype("<f4").tobytes() for p in part], pa.binary())], ["owner", "unit", "grams", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An owner's values come first, then the units that ask; answers stand in the order of the questions."""
-        now, value = None, {}
+        now, keys, logs, ready = None, [], [], False
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["owner"] != now:
-                    now, value = r["owner"], {}
-                if r["unit"] is None:
-                    value.update(zip(_grams(r["grams"]), np.frombuffer(r["logs"]).tolist()))
-                else:
-                    out.append((r["unit"], now, np.fromiter(map(value.__getitem__, _grams(r["grams"])), np.float64).tobytes()))
-            if out:
-                rows = [(u, None, 0, o, None, None, None, None, None, None, logs, None) for u, o, logs in out]
+            rows = []
+            for owner, unit, g, c in zip(*(c.to_pylist() for c in batch.columns)):
+                if owner != now:
+                    now, keys, logs, ready = owner, [], [], False
+                if unit is None:
+                    keys.append(as_bytes(_unpack_grams(g, order)))
+                    logs.append(np.frombuffer(c, "<f4"))
+                    continue
+                if not ready:
+                    all_, value = np.concatenate(keys), np.concatenate(logs)
+                    by = np.argsort(all_)
+                    keys, logs, ready = all_[by], value[by], True
+                found = logs[np.searchsorted(keys, as_bytes(_unpack_grams(g, order)))]
+                rows.append((unit, 0, owner, *[None] * 7, found.tobytes(), None, None))
+            if rows:
                 yield _batch(rows)
 
-    both = scored.mapInArrow(shard, "owner int, unit long, grams binary, logs binary").unionByName(asking().withColumn("logs", F.lit(None).cast("binary")))
+    both = scored.mapInArrow(shard, "owner int, unit long, grams binary, counts binary").unionByName(asking())
     answers = both.repartition(owners, "owner").sortWithinPartitions(F.col("owner"), F.col("unit").asc_nulls_first()).mapInArrow(answer, UNIT)
 
+    def judge(r: dict, logs: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array(r["sizes"], np.int64)
+        sums = np.zeros(len(sizes))
+        text = _unpack(r["text"]).decode("utf-8", "surrogatepass")
+        if text:
+            k, grams = Keys(text, order), _unpack_grams(r["grams"], order)
+            key = k.keys([grams[:, j] for j in range(order)])
+            by = np.argsort(key)
+            key, value = key[by], np.concatenate(logs).astype(np.float64)[by]
+            each = np.zeros(len(k.codes))
+            for a, b, at, is_one in k.chunks():
+                each[a:b][is_one] = value[np.searchsorted(key, at[is_one])]
+            has = sizes > 0
+            sums[has] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[has])
+        ppl = [None if not n else float(-s / (n - order)) for s, n in zip(sums, r["sizes"])]
+        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), pa.array(r["texts"], pa.int64()), pa.array(r["states"], pa.int32()), pa.array(r["words"], pa.int64()), pa.array(ppl, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "hash", "state", "n_words", "log_ppl"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, logs = None, []
         for batch in batches:
@@ -344,64 +388,56 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
                 if r["unit"] != now:
                     now, logs = r["unit"], []
                 if r["kind"] == 0:  # owners in their order
-                    logs.append(np.frombuffer(r["grams"]))
-                    continue
-                words, place, many, ends = _unpack(r)
-                get = dict(zip(_grams(r["grams"]), np.concatenate(logs).tolist() if logs else [])).__getitem__
-                of_word = np.fromiter((sum(map(get, grams(w, order))) for w in words), np.float64, len(words)) if ends[-1] else np.zeros(0)
-                size = np.fromiter((len(w) - _begin(w) for w in words), np.int64, len(words))
-                has = np.asarray(r["sizes"]) > 0
-                starts = (ends - r["sizes"])[has]
-
-                def total(x: np.ndarray) -> np.ndarray:
-                    out = np.zeros(len(has))
-                    if len(starts):
-                        out[has] = np.add.reduceat(x.astype(np.float64), starts)
-                    return out
-
-                n, chars, sums = total(many), total(size[place] * many), total(of_word[place] * many)
-                ppl = [None if not c else float(-s / c) for s, c in zip(sums, chars)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), pa.array(n.astype(np.int64)), pa.array(ppl, pa.float64())], ["doc_id", "lang", "n_words", "log_ppl"])
+                    logs.append(np.frombuffer(r["grams"], "<f4"))
+                else:
+                    yield judge(r, logs)
         trim()
 
-    dealt = bags.unionByName(answers).repartition(owners, "unit").sortWithinPartitions("unit", "kind", "owner")
-    return dealt.mapInArrow(score, "doc_id long, lang string, n_words long, log_ppl double")
+    dealt = units.unionByName(answers).repartition(owners, "unit").sortWithinPartitions("unit", "kind", "owner")
+    return dealt.mapInArrow(score, "doc_id long, lang string, hash long, state int, n_words long, log_ppl double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
-    """(doc_id, lang, n_words, log_ppl, threshold, kept) of each row of `docs`; `labels` says what is trusted: quality 1, not toxic.
-
-    Texts null, empty or without words have no perplexity and are not kept. A null language is a language of its own. A
-    language without trusted documents takes the threshold over all of them; without any trusted document every text with
-    words is kept. Rows with a null id are scored but never trusted; repeated rows are scored apart. Long texts are read
-    whole; an empty table gives an empty result; other columns are not read.
-    """
+def _classified(docs: DataFrame, labels: DataFrame, params: ModelParams) -> DataFrame:
     clean = "coalesce(toxic, 0) = 0" if "toxic" in labels.columns else "true"
     trusted = labels.where(f"quality = 1 AND {clean} AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     scores = checkpointed(perplexities(docs, trusted, params))
-    bins = scores.join(trusted, "doc_id").where("log_ppl IS NOT NULL").groupBy("lang", F.floor(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n"))
+    bins = scores.where(f"state = {HELD_OUT} AND log_ppl IS NOT NULL").groupBy("lang", F.floor(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n"))
     bins = checkpointed(bins)  # bounded for each language by the steps between the smallest and the largest perplexity
 
     def threshold(by: list[str]) -> DataFrame:
         w = W.Window.partitionBy(*by)
         low = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumn("below", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-        return low.where(F.col("below") >= F.col("all") * params.quantile).groupBy(*by).agg(((F.min("bin") + 1) * F.lit(STEP) + F.lit(params.slack)).alias("threshold"))
+        return low.where(F.col("below") >= F.col("all") * params.quantile).groupBy(*by).agg(((F.min("bin") + 1) * F.lit(STEP)).alias("threshold"))
 
     whole = threshold([]).first()
     own = threshold(["lang"]).withColumnRenamed("lang", "__lang")
     out = scores.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(whole["threshold"] if whole else None).cast("double")))
-    return out.withColumn("kept", F.coalesce(F.col("log_ppl").isNotNull() & (F.col("log_ppl") <= F.coalesce("threshold", F.lit(float("inf")))), F.lit(False))).select("doc_id", "lang", "n_words", "log_ppl", "threshold", "kept")
+    return out.withColumn("kept", F.coalesce(F.col("log_ppl").isNotNull() & (F.col("log_ppl") <= F.coalesce("threshold", F.lit(float("inf")))), F.lit(False)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
+    """(doc_id, lang, n_words, log_ppl, threshold, kept) of each row of `docs`; `labels` says what is trusted: quality 1, not toxic.
 
+    Of the trusted documents, one in `held_out` by a hash of its id sets its language's threshold, and the others are counted.
+    Texts null, empty or without words have no perplexity and are not kept. A null language is a language of its own. A
+    language without held-out documents takes the threshold over all of them; where there are none at all, every text with
+    words is kept. Rows with a null id are scored but never trusted; repeated rows are scored apart. Long texts are read
+    whole; an empty table gives an empty result; other columns are not read. Logarithms of n-grams travel in single precision.
+    """
+    return _classified(docs, labels, params).select("doc_id", "lang", "n_words", "log_ppl", "threshold", "kept")
 
-def keep_documents(docs: DataFrame, labels: DataFrame, params: ModelParams = WHOLE) -> DataFrame:
-    """The documents that pass; columns as in `docs`. Rows with a null id stay."""
-    bad = classify(docs, labels, params).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(checkpointed(bad), "doc_id", "left_anti").select(*docs.columns)
+
+def keep_documents(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
+    """The rows that pass, each judged by its own text and language, also where ids are null or repeated; columns as in `docs`."""
+    bad = _classified(docs, labels, params).where("NOT kept").select(F.col("doc_id").alias("__i"), F.col("lang").alias("__g"), F.col("hash").alias("__h")).distinct()
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & lang.eqNullSafe(F.col("__g")) & (F.xxhash64("text") == F.col("__h"))
+    return docs.join(checkpointed(bad), same, "left_anti").select(*docs.columns)
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WHOLE)
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op4_kneser_ney": op4_kneser_ney}
