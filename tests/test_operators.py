@@ -198,15 +198,43 @@ def test_metrics(spark):
     assert k.agreement == 1.0 and k.kappa is None
 
 
-def test_weighted_auc_equals_repeated_rows():
+def test_weighted_auc_equals_repeated_rows(spark):
     rng = np.random.default_rng(1)
     y, s = np.array([0, 1, 1, 0, 1, 0]), np.array([0.1, 0.6, 0.6, 0.6, 0.9, 0.9])
     weights = rng.integers(0, 6, (120, 6))
     weights[0] = 0
-    for row, got in zip(weights, metrics.weighted_auc(y, s, weights)):
+    rows = [(k, int(y[i]), float(s[i]), int(w[i])) for k, w in enumerate(weights) for i in range(6)]
+    got = {r.k: r.auc for r in metrics.weighted_auc(spark.createDataFrame(rows, "k int, target int, probability double, w long"), ["k"], "w").collect()}
+    for k, row in enumerate(weights):
         yy, ss = np.repeat(y, row), np.repeat(s, row)
         pairs = (ss[yy == 1][:, None] - ss[yy == 0][None, :]).ravel()
-        assert math.isnan(got) if not len(pairs) else math.isclose(got, (np.sum(pairs > 0) + 0.5 * np.sum(pairs == 0)) / len(pairs))
+        assert got[k] is None if not len(pairs) else math.isclose(got[k], (np.sum(pairs > 0) + 0.5 * np.sum(pairs == 0)) / len(pairs))
+
+
+def test_smoothing_over_chunks(spark):
+    rng = np.random.default_rng(8)
+    n = 12_000  # several chunks for each a
+    rows = [(e, k, float(v)) for e in "ab" for k, v in enumerate(rng.standard_normal(n).cumsum() + 50)]
+    df = spark.createDataFrame(rows, "ticker string, date int, px double").repartition(4)
+    got = w.ewm(df, "px", {"slow": 2 / 27, "quick": 0.9, "whole": 1.0}).toPandas().sort_values(["ticker", "date"])
+    for e in "ab":
+        x = pd.Series([v for t, _, v in rows if t == e])
+        for c, a in (("slow", 2 / 27), ("quick", 0.9), ("whole", 1.0)):
+            assert np.allclose(got[got.ticker == e][c].to_numpy(), x.ewm(alpha=a, adjust=False).mean(), rtol=1e-11)
+
+
+def test_causal_dedup_is_linear_in_a_session(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(n).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id") * 600).alias("ts"), "id")
+        began = time.perf_counter()
+        got = dedup.causal_dedup(df, ["key"], "ts", "id").where("kept").count()
+        assert got == -(-n // 145)
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    assert seconds(400_000) < 10 * seconds(100_000) + 5
 
 
 def test_bootstrap(spark):
@@ -216,6 +244,7 @@ def test_bootstrap(spark):
     twice = df.union(df.withColumn("arm", F.lit("y")))
     out = metrics.bootstrap_auc(twice, "ticker", "d", "arm", [("x", "y")], block=10, repeats=120).collect()
     assert {r.ticker for r in out} == {"A", "B", "macro"} and all(r.delta == r.low == r.high == 0.0 for r in out)
+    assert {r["rep"]: r["n"] for r in metrics.drawn_blocks(spark, 60, 20, 100).groupBy("rep").agg(F.sum("times").alias("n")).collect()} == dict.fromkeys(range(-1, 100), 60)
     weights = metrics.block_weights(60, 20, 100)
     assert (weights.sum(1) == 60).all() and (metrics.block_weights(60, 20, 100) == weights).all()
     rng = np.random.default_rng(42)
@@ -296,7 +325,16 @@ def test_files(spark, tmp_path):
     assert sinks.changed_files(spark, f"{tmp_path}/in", m) == []
     (tmp_path / "in/x").write_text("2")
     assert len(sinks.changed_files(spark, f"{tmp_path}/in", m)) == 1
-    assert sinks.update_json(f"{tmp_path}/r.json", a=1) | {"b": 2} == sinks.update_json(f"{tmp_path}/r.json", b=2)
+    done = sinks.manifest(spark, f"{tmp_path}/in", {"version": "2", "seed": 42}, "complete")
+    sinks.write_json(spark, done, f"{tmp_path}/m.json")
+    assert sinks.checked_reference(spark, f"{tmp_path}/m.json", f"{tmp_path}/in", "2", {"seed": 42})["inputs"] == done["inputs"]
+    for version, protocol in (("1", {}), ("2", {"seed": 7})):
+        with pytest.raises(contracts.ContractError):
+            sinks.checked_reference(spark, f"{tmp_path}/m.json", f"{tmp_path}/in", version, protocol)
+    (tmp_path / "in/x").write_text("3")
+    with pytest.raises(contracts.ContractError, match="changed"):
+        sinks.checked_reference(spark, f"{tmp_path}/m.json", f"{tmp_path}/in", "2", {})
+    assert sinks.update_json(spark, f"{tmp_path}/r.json", a=1, t="é\n") | {"b": 2} == sinks.update_json(spark, f"{tmp_path}/r.json", b=2)
     assert [r.value for r in sinks.markdown(df.limit(1), "T", ["ticker"]).collect()][0] == "# T"
 
 

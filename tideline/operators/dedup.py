@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.checkpoint import checkpointed
 from .graph import connected_components
@@ -20,19 +22,33 @@ def causal_dedup(df: DataFrame, keys: Sequence[str], time: str, ident: str, hour
     """(ident, kept, representative) of each row: within a key, a row no more than `hours` after the last kept one goes.
 
     Rows that go do not move the anchor, so this is no comparison with the row before. Rows between which lies more than
-    the window can't depend on each other; they split each key into sessions, and one fold runs over each session.
+    the window can't depend on each other; they split each key into sessions. Sessions are sorted by the shuffle and pass
+    through Arrow in order, which holds only the last kept row: the time is linear, the memory constant. A row without a
+    time is kept and ends a session.
     """
     gap = F.expr(f"INTERVAL {hours} HOURS")
     w = Window.partitionBy(*keys).orderBy(time, ident)
-    fresh = F.coalesce(F.col(time) > F.lag(time).over(w) + gap, F.lit(True)).cast("long")
-    sessions = df.select(*keys, time, ident).withColumn("__s", F.sum(fresh).over(w))
-    series = sessions.groupBy(*keys, "__s").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(ident).alias("i")))).alias("x"))
-    kinds = series.schema["x"].dataType.elementType
-    start = f"named_struct('t', cast(null as {kinds['t'].dataType.simpleString()}), 'i', cast(null as {kinds['i'].dataType.simpleString()}), 'out', cast(array() as array<struct<i:{kinds['i'].dataType.simpleString()},kept:boolean,rep:{kinds['i'].dataType.simpleString()}>>))"
-    fold = f"""aggregate(x, {start}, (a, r) -> CASE WHEN a.t IS NULL OR r.t > a.t + INTERVAL {hours} HOURS
-        THEN named_struct('t', r.t, 'i', r.i, 'out', concat(a.out, array(named_struct('i', r.i, 'kept', true, 'rep', r.i))))
-        ELSE named_struct('t', a.t, 'i', a.i, 'out', concat(a.out, array(named_struct('i', r.i, 'kept', false, 'rep', a.i)))) END, a -> a.out)"""
-    return series.select(F.explode(F.expr(fold)).alias("o")).select(F.col("o.i").alias(ident), F.col("o.kept").alias("kept"), F.col("o.rep").alias("representative"))
+    fresh = F.coalesce(F.col(time) > F.lag(time).over(w) + gap, F.lit(True))
+    sessions = df.select(*keys, time, ident).withColumn("__fresh", fresh).withColumn("__s", F.count_if("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sessions = sessions.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")))
+    dealt = sessions.repartition(*(F.col(k) for k in keys), F.col("__s")).sortWithinPartitions(*(F.col(k) for k in keys), "__s", time, ident)
+    span = hours * 3_600_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor = head = None
+        for batch in batches:
+            kept, heads = [], []
+            for i, at, fresh in zip(*(c.to_pylist() for c in batch.columns)):
+                keep = fresh or (at is not None and at > anchor + span)
+                if keep:
+                    anchor, head = at, i
+                kept.append(keep)
+                heads.append(head)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.bool_()), pa.array(heads, batch.column(0).type)], [ident, "kept", "representative"])
+
+    kind = df.schema[ident].dataType
+    out = T.StructType([T.StructField(ident, kind), T.StructField("kept", T.BooleanType()), T.StructField("representative", kind)])
+    return dealt.select(ident, "__at", "__fresh").mapInArrow(run, out)
 
 
 def duplicate_components(df: DataFrame, ident: str, keys: dict[str, Column]) -> DataFrame:

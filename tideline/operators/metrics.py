@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .aggregates import ratio
 from .ranks import meet, positions
@@ -39,16 +38,22 @@ def rates(df: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, keys: Sequence[str], target: str = "target", score: str = "probability") -> DataFrame:
-    """Area under the curve by group, ties counting half; null unless both classes occur.
+def weighted_auc(df: DataFrame, keys: Sequence[str], weight: str | Column, target: str = "target", score: str = "probability", **cuts) -> DataFrame:
+    """Area under the curve by group where each row stands for `weight` rows, ties counting half; null unless both classes weigh something.
 
-    Rows are counted by score, and the running sums of negatives are those of positions among negatives.
+    Rows are counted by score, and the running sums of negatives are those of positions among negatives; `cuts` goes to `positions`.
     """
-    both = positions(df.withColumn("__neg", (F.col(target) == 0).cast("long")).withColumn("__pos", (F.col(target) == 1).cast("long")), keys, score, sums={"p": F.sum("__pos"), "m": F.sum("__neg")}, weight="m")
+    w = F.col(weight) if isinstance(weight, str) else weight
+    both = positions(df.withColumns({"__neg": F.when(F.col(target) == 0, w).otherwise(0), "__pos": F.when(F.col(target) == 1, w).otherwise(0)}), keys, score, sums={"p": F.sum("__pos"), "m": F.sum("__neg")}, weight="m", **cuts)
     out = both.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("m") / 2)).alias("wins"), F.sum("p").alias("pos"), F.sum("m").alias("neg"))
     return out.select(*keys, F.try_divide(F.col("wins"), F.nullif((F.col("pos") * F.col("neg")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
+def roc_auc(df: DataFrame, keys: Sequence[str], target: str = "target", score: str = "probability") -> DataFrame:
+    """Area under the curve by group, ties counting half; null unless both classes occur."""
+    return weighted_auc(df, keys, F.lit(1).cast("long"), target, score)
+
+
 def metrics_by_scope(df: DataFrame, scopes: Sequence[str], target: str = "target", prediction: str = "prediction") -> DataFrame:
     """Long table (scope, group, metrics): all rows, and each column of `scopes` by value, from one GROUPING SETS pass."""
     df = df.withColumns({f"__{c}": F.col(c).cast("string") for c in scopes})
@@ -116,7 +121,10 @@ def best_threshold(df: DataFrame, keys: Sequence[str], thresholds: Sequence[floa
 
 
 def block_weights(n: int, block: int, repeats: int, seed: int = 42) -> np.ndarray:
-    """How often each of n dates is drawn, by replicate, in blocks of consecutive dates cut off at n."""
+    """How often each of n dates is drawn, by replicate, in blocks of consecutive dates cut off at n.
+
+    Fixed: the generator, its seed and the order of its draws, on which the intervals depend.
+    """
     if not 0 < block < n:
         raise ValueError("blocks must be shorter than the series")
     if repeats < 100:
@@ -127,35 +135,26 @@ def block_weights(n: int, block: int, repeats: int, seed: int = 42) -> np.ndarra
     return np.stack([np.bincount(row, minlength=n) for row in drawn])
 
 
-def weighted_auc(target: np.ndarray, score: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Area under the curve for each row of weights, ties counting half; NaN where a class has no weight."""
-    order = np.argsort(score, kind="stable")
-    y, w = target[order] == 1, weights[:, order].astype(float)
-    start = np.flatnonzero(np.concatenate(([True], np.diff(score[order]) > 0)))
-    pos, neg = np.add.reduceat(w * y, start, axis=1), np.add.reduceat(w * ~y, start, axis=1)
-    total = pos.sum(1) * neg.sum(1)
-    return np.divide((pos * (np.cumsum(neg, 1) - neg / 2)).sum(1), total, out=np.full(len(w), np.nan), where=total > 0)
+def drawn_blocks(spark: SparkSession, n: int, block: int, repeats: int, seed: int = 42) -> DataFrame:
+    """(rep, day, times): how often a replicate draws each of n days; replicate -1 is the sample itself. At most (repeats + 1) * n rows."""
+    weights = np.vstack([np.ones(n, int), block_weights(n, block, repeats, seed)])
+    rep, day = np.nonzero(weights)
+    return spark.createDataFrame(pd.DataFrame({"rep": (rep - 1).astype("int32"), "day": day.astype("int32"), "times": weights[rep, day].astype("int64")}))
 
 
 def bootstrap_auc(df: DataFrame, entity: str, time: str, arm: str, contrasts: Sequence[tuple[str, str]], block: int = 20, repeats: int = 1000, seed: int = 42, target: str = "target", score: str = "probability", least: float = 0.9) -> DataFrame:
     """(entity, base, other, delta, low, high, valid) of each contrast and entity, and of the mean over entities ("macro").
 
-    All entities and arms share the drawn dates. Weights are a bounded matrix made on the driver; each (entity, arm) is
-    scored in one Arrow group, replicates meet by key, and percentiles are Spark's. Less than `least` valid ones give nulls.
+    All entities and arms share the drawn days. Rows are counted by day and score before they meet the draws, and the areas
+    of all replicates are one aggregation: no task holds a replicate, an entity or a series. Percentiles are Spark's. Less
+    than `least` valid replicates give nulls.
     """
-    spark = df.sparkSession
-    dates = [r[0] for r in df.select(time).distinct().orderBy(time).collect()]  # one row for each session
-    shared = spark.sparkContext.broadcast((block_weights(len(dates), block, repeats, seed), {d: i for i, d in enumerate(dates)}))
-    schema = T.StructType([T.StructField(entity, T.StringType()), T.StructField(arm, T.StringType()), T.StructField("rep", T.IntegerType()), T.StructField("auc", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights, at = shared.value
-        columns = pdf[time].map(at).to_numpy()
-        auc = weighted_auc(pdf[target].to_numpy(), pdf[score].to_numpy(), np.vstack([np.ones(len(columns), int), weights[:, columns]]))
-        return pd.DataFrame({entity: str(pdf[entity].iloc[0]), arm: str(pdf[arm].iloc[0]), "rep": np.arange(-1, len(auc) - 1), "auc": auc})
-
-    auc = df.select(entity, time, arm, target, score).groupBy(entity, arm).applyInPandas(run, schema)
-    auc = auc.withColumn("auc", F.when(~F.isnan("auc"), F.col("auc")))
+    days = df.select(time).distinct().where(F.col(time).isNotNull())  # one row for each session
+    numbered = days.withColumn("day", (F.row_number().over(Window.orderBy(time)) - 1).cast("int"))
+    draws = drawn_blocks(df.sparkSession, days.count(), block, repeats, seed)
+    counts = df.select(F.col(entity).cast("string").alias(entity), time, F.col(arm).cast("string").alias(arm), target, score).join(numbered, time)
+    counts = counts.groupBy(entity, arm, "day", target, score).agg(F.count("*").alias("__n"))
+    auc = weighted_auc(counts.join(draws, "day"), [entity, arm, "rep"], F.col("__n") * F.col("times"), target, score, cut_from=counts, cut_keys=[entity, arm])
     wide = auc.groupBy(entity, "rep").pivot(arm, sorted({x for c in contrasts for x in c})).agg(F.first("auc"))
     pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("base"), F.lit(b).alias("other"), (F.col(b) - F.col(a)).alias("delta")) for a, b in contrasts))).alias("c")
     long = wide.select(F.col(entity), "rep", pairs).select(entity, "rep", "c.*")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ENTITY, TIME = "ticker", "date"
 #: Below this, a spread counts as none: constant windows leave rounding residue.
@@ -53,48 +52,48 @@ def volatility(value: str, rows: int = 20, entity: str = ENTITY, time: str = TIM
     return F.coalesce(F.stddev_samp(value).over(past(rows, entity, time)), F.lit(0.0))
 
 
-def ewm(df: DataFrame, value: str, outputs: dict[str, float], entity: str = ENTITY, time: str = TIME, min_periods: int = 0) -> DataFrame:
-    """Exponential averages y = (1 - a) y + a x from the first value on, one column for each a in `outputs`.
+def smoothed(df: DataFrame, outputs: dict[str, tuple[str, float]], min_periods: int = 0, entity: str = ENTITY, time: str = TIME) -> DataFrame:
+    """Add exponential averages y = (1 - a) y + a x from the first value on: outputs maps a column to its (x, a).
 
-    The recursion has no window form that stays exact, so each entity's series goes through Arrow once, in order.
+    The recursion unrolls into a running sum of values divided by powers of 1 - a. Chunks of rows keep the powers within a
+    double, and a chunk begins with what the one before it ended with: by then the weight of what is older is below 1e-130.
+    A null leaves the average as it is; it is null until there are `min_periods` values.
     """
-    schema = T.StructType([*df.select(entity, time).schema.fields, *(T.StructField(c, T.DoubleType()) for c in outputs)])
+    w = spec(entity, time).rowsBetween(Window.unboundedPreceding, 0)
+    for name, (value, a) in outputs.items():
+        keep = 1.0 - a
+        size = max(1, math.ceil(300 / -math.log(keep))) if keep > 0 else 1
+        x = F.col(value).cast("double")
+        out = df.withColumn("__k", F.count(x).over(w)).withColumns({"__c": F.floor((F.col("__k") - 1) / size), "__j": F.pmod(F.col("__k") - 1, F.lit(size))})
+        term = x * F.when(F.col("__k") == 1, 1.0).otherwise(a) * F.pow(F.lit(keep), -F.col("__j"))
+        chunk = Window.partitionBy(entity, "__c").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("__y", F.sum(term).over(chunk) * F.pow(F.lit(keep), F.col("__j")))
+        ends = F.last(F.when(F.col("__j") == size - 1, F.col("__y")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        y = F.col("__y") + F.when(F.col("__c") > 0, F.coalesce(ends, F.lit(0.0)) * F.pow(F.lit(keep), F.col("__j") + 1)).otherwise(0.0)
+        last = F.last(F.when(x.isNotNull(), F.col("__z")), ignorenulls=True).over(w)
+        df = out.withColumn("__z", y).withColumn(name, F.when(F.col("__k") >= max(1, min_periods), last)).drop("__k", "__c", "__j", "__y", "__z")
+    return df
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        x = pdf[value].astype(float)
-        return pdf[[entity, time]].assign(**{c: x.ewm(alpha=a, adjust=False, min_periods=min_periods).mean() for c, a in outputs.items()})
 
-    return df.select(entity, time, value).groupBy(entity).applyInPandas(run, schema)
+def ewm(df: DataFrame, value: str, outputs: dict[str, float], entity: str = ENTITY, time: str = TIME, min_periods: int = 0) -> DataFrame:
+    """(entity, time, averages): one exponential average of `value` for each a in `outputs`."""
+    out = smoothed(df.select(entity, time, value), {c: (value, a) for c, a in outputs.items()}, min_periods, entity, time)
+    return out.select(entity, time, *outputs)
 
 
 def rsi(df: DataFrame, value: str, periods: int = 14, entity: str = ENTITY, time: str = TIME) -> DataFrame:
-    """(entity, time, rsi): relative strength by Wilder's smoothing; 50 until there are `periods` changes, and where nothing moves."""
+    """(entity, time, rsi): smoothed rises in percent of smoothed moves either way, by Wilder's smoothing; 50 until there are `periods` changes, and where nothing moves."""
     change = F.col(value) - F.lag(value).over(spec(entity, time))
-    moves = df.select(entity, time, F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))).alias("gain"), F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))).alias("loss"))
-    schema = T.StructType([*df.select(entity, time).schema.fields, T.StructField("rsi", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        gain, loss = (pdf[c].astype(float).ewm(alpha=1 / periods, adjust=False, min_periods=periods).mean() for c in ("gain", "loss"))
-        out = 100 - 100 / (1 + gain / loss.where(loss != 0))
-        out = out.mask((loss == 0) & (gain > 0), 100.0).mask((loss == 0) & (gain == 0), 50.0)
-        return pdf[[entity, time]].assign(rsi=out.fillna(50.0).clip(0, 100))
-
-    return moves.groupBy(entity).applyInPandas(run, schema)
+    moves = df.select(entity, time, change.alias("__d")).withColumns({"__up": (F.abs("__d") + F.col("__d")) / 2, "__all": F.abs("__d")})
+    out = smoothed(moves, {"__rise": ("__up", 1 / periods), "__move": ("__all", 1 / periods)}, periods, entity, time)
+    return out.select(entity, time, F.coalesce(F.try_divide(F.col("__rise") * 100, F.nullif(F.col("__move"), F.lit(0.0))), F.lit(50.0)).alias("rsi"))
 
 
 def macd(df: DataFrame, value: str, fast: int = 12, slow: int = 26, signal: int = 9, entity: str = ENTITY, time: str = TIME) -> DataFrame:
     """(entity, time, macd, macd_signal): difference of two exponential averages and an exponential average of it."""
-    schema = T.StructType([*df.select(entity, time).schema.fields, T.StructField("macd", T.DoubleType()), T.StructField("macd_signal", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
-        line = mean(pdf[value].astype(float), fast) - mean(pdf[value].astype(float), slow)
-        return pdf[[entity, time]].assign(macd=line, macd_signal=mean(line, signal))
-
-    return df.select(entity, time, value).groupBy(entity).applyInPandas(run, schema)
+    share = lambda span: 2 / (span + 1)
+    lines = smoothed(df.select(entity, time, value), {"__fast": (value, share(fast)), "__slow": (value, share(slow))}, 0, entity, time)
+    return smoothed(lines.withColumn("macd", F.col("__fast") - F.col("__slow")), {"macd_signal": ("macd", share(signal))}, 0, entity, time).select(entity, time, "macd", "macd_signal")
 
 
 def lags(df: DataFrame, columns: Sequence[str], steps: Sequence[int] = (1, 2, 3), fill: float | None = 0.0, entity: str = ENTITY, time: str = TIME) -> DataFrame:

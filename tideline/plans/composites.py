@@ -86,7 +86,17 @@ def quality_audit(before: DataFrame, links: DataFrame, ident: str) -> DataFrame:
     return by.join(top, ["ticker", "month"]).withColumn("removed_share", aggregates.ratio(F.col("removed"), F.col("items")))
 
 
-@query("quality_audit", "ticker s, month s, items i, titles i, largest_share f6", "SELECT ticker, month, sum(n) AS items, count(*) AS titles, max(n) / sum(n) AS largest_share FROM (SELECT ticker, strftime(date, '%Y-%m') AS month, title, count(*) AS n FROM news GROUP BY 1, 2, 3) GROUP BY 1, 2", "news")
+@query(
+    "quality_audit",
+    "ticker s, month s, items i, titles i, removed i, removed_share f6, largest_share f6",
+    """SELECT *, removed / items AS removed_share FROM (WITH RECURSIVE o AS (SELECT event_id, ticker, title, ts, date, row_number() OVER (PARTITION BY ticker, title ORDER BY ts, event_id) AS k FROM news),
+    f AS (SELECT ticker, title, date, k, true AS kept, ts AS anchor FROM o WHERE k = 1
+      UNION ALL
+      SELECT o.ticker, o.title, o.date, o.k, o.ts > f.anchor + INTERVAL 24 HOURS, CASE WHEN o.ts > f.anchor + INTERVAL 24 HOURS THEN o.ts ELSE f.anchor END
+      FROM f JOIN o ON o.ticker = f.ticker AND o.title = f.title AND o.k = f.k + 1)
+    SELECT ticker, month, sum(n) AS items, count(*) AS titles, CAST(sum(gone) AS BIGINT) AS removed, max(n) / sum(n) AS largest_share FROM (SELECT ticker, strftime(date, '%Y-%m') AS month, title, count(*) AS n, count(*) FILTER (NOT kept) AS gone FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2)""",
+    "news",
+)
 def _quality_audit(spark, sf):
     n = news(spark, sf)
     return quality_audit(n, dedup.causal_dedup(n, ["ticker", "title"], "ts", "event_id"), "event_id")

@@ -124,16 +124,8 @@ WEIGHTED = "SELECT ticker, probability AS s, CAST(sum(CASE WHEN target = 1 THEN
 
 @query("weighted_auc", "ticker s, auc f6", f"SELECT ticker, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, sum(n) OVER (PARTITION BY ticker ORDER BY s) - n AS below FROM ({WEIGHTED})) GROUP BY 1", "predictions")
 def _weighted_auc(spark, sf):
-    """Integer weights, as a bootstrap draws them, through the matrix form of the area."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        auc = metrics.weighted_auc(pdf["target"].to_numpy(), pdf["probability"].to_numpy(), (pdf["doc_id"].to_numpy() % 6)[None, :])
-        return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]], "auc": [None if np.isnan(auc[0]) else auc[0]]})
-
-    out = predictions(spark, sf).groupBy("ticker").applyInPandas(run, "ticker string, auc double")
-    return out.withColumn("auc", F.when(~F.isnan("auc"), F.col("auc")))
+    """Integer weights, as a bootstrap draws them."""
+    return metrics.weighted_auc(predictions(spark, sf), ["ticker"], (F.col("doc_id") % 6).cast("long"))
 
 
 CLASS = "SELECT coalesce(x.c, y.c) AS class, coalesce(s, 0) AS support, coalesce(p, 0) AS predicted, coalesce(h, 0) AS hits FROM (SELECT a AS c, count(*) AS s, count(*) FILTER (a = b) AS h FROM annotated GROUP BY 1) x FULL JOIN (SELECT b AS c, count(*) AS p FROM annotated GROUP BY 1) y ON x.c = y.c"
@@ -189,18 +181,35 @@ def _threshold_opt(spark, sf):
 
 
 def _two_arms(spark, sf):
-    p = predictions(spark, sf).select("ticker", F.col("outer_fold"), (F.col("doc_id") % 60).cast("int").alias("session"), "target", "probability")
-    return p.withColumn("arm", F.lit("base")).unionByName(p.withColumns({"arm": F.lit("other"), "probability": 1 - F.col("probability")}))
+    p = predictions(spark, sf).withColumn("session", (F.col("doc_id") % 60).cast("int"))
+    base = p.select("ticker", "session", "target", "probability").withColumn("arm", F.lit("base"))
+    return base.unionByName(p.select("ticker", "session", "target", F.round((F.col("probability") + F.col("other")) / 2, 4).alias("probability")).withColumn("arm", F.lit("other")))
+
+
+def _bootstrap_sql(entity: str, sessions: int = 60, block: int = 10, repeats: int = 200) -> str:
+    """The drawn sessions as a table of values, and areas and percentiles over it."""
+    import numpy as np
+
+    weights = np.vstack([np.ones(sessions, int), metrics.block_weights(sessions, block, repeats)])
+    values = ", ".join(f"({r - 1}, {d}, {weights[r, d]})" for r, d in zip(*(x.tolist() for x in np.nonzero(weights))))
+    return f"""SELECT * FROM (WITH w(rep, session, times) AS (VALUES {values}),
+  arms AS (SELECT {entity} AS entity, doc_id % {sessions} AS session, target, 'base' AS arm, probability AS s FROM predictions UNION ALL SELECT {entity}, doc_id % {sessions}, target, 'other', round((probability + other) / 2, 4) FROM predictions),
+  c AS (SELECT entity, arm, rep, s, CAST(sum(CASE WHEN target = 1 THEN times ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN target = 0 THEN times ELSE 0 END) AS DOUBLE) AS q FROM arms JOIN w USING (session) GROUP BY ALL),
+  a AS (SELECT entity, arm, rep, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auc FROM (SELECT *, sum(q) OVER (PARTITION BY entity, arm, rep ORDER BY s) - q AS below FROM c) GROUP BY ALL),
+  e AS (SELECT x.entity, x.rep, y.auc - x.auc AS delta FROM a x JOIN a y ON x.entity = y.entity AND x.rep = y.rep AND x.arm = 'base' AND y.arm = 'other'),
+  d AS (SELECT * FROM e UNION ALL SELECT 'macro', rep, CASE WHEN count(delta) = (SELECT count(DISTINCT entity) FROM e) THEN avg(delta) END FROM e GROUP BY rep)
+  SELECT entity, 'base' AS base, 'other' AS other, max(delta) FILTER (rep = -1) AS delta, CASE WHEN count(delta) FILTER (rep >= 0) >= 0.9 * {repeats} THEN quantile_cont(delta, 0.025) FILTER (rep >= 0) END AS low,
+    CASE WHEN count(delta) FILTER (rep >= 0) >= 0.9 * {repeats} THEN quantile_cont(delta, 0.975) FILTER (rep >= 0) END AS high, count(delta) FILTER (rep >= 0) AS valid FROM d GROUP BY entity)"""
 
 
-@query("block_bootstrap", "entity s, base s, other s, delta f6, low f6, high f6, valid i")
+@query("block_bootstrap", "entity s, base s, other s, delta f6, low f6, high f6, valid i", _bootstrap_sql("'pooled'"), "predictions")
 def _block_bootstrap(spark, sf):
     """Intervals of paired differences of AUC under shared blocks of sessions, pooled over entities."""
     pooled = _two_arms(spark, sf).withColumn("entity", F.lit("pooled"))
-    return metrics.bootstrap_auc(pooled, "entity", "session", "arm", [("base", "other"), ("base", "base")], block=10, repeats=200)
+    return metrics.bootstrap_auc(pooled, "entity", "session", "arm", [("base", "other")], block=10, repeats=200)
 
 
-@query("panel_intervals", "ticker s, base s, other s, delta f6, low f6, high f6, valid i")
+@query("panel_intervals", "ticker s, base s, other s, delta f6, low f6, high f6, valid i", f"SELECT *, entity AS ticker FROM ({_bootstrap_sql('ticker')})", "predictions")
 def _panel_intervals(spark, sf):
     """The same for each entity and for their mean, all on the same drawn sessions."""
     return metrics.bootstrap_auc(_two_arms(spark, sf), "ticker", "session", "arm", [("base", "other")], block=10, repeats=200)

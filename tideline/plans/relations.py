@@ -74,7 +74,16 @@ def _yearly_ranges(spark, sf):
     return readers.yearly_ranges(spark, date(2015, 3, 10), date(2018, 6, 30))
 
 
-@query("range_split", "range_start d, range_end d, n_rows i")
+@query(
+    "range_split",
+    "range_start d, range_end d, n_rows i",
+    """SELECT * FROM (WITH RECURSIVE d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1),
+    r AS (SELECT min(day) AS s, max(day) AS e FROM d
+      UNION ALL
+      SELECT CASE h WHEN 0 THEN s ELSE s + CAST((e - s) // 2 + 1 AS INTEGER) END, CASE h WHEN 0 THEN s + CAST((e - s) // 2 AS INTEGER) ELSE e END
+      FROM (SELECT s, e FROM r JOIN d ON day BETWEEN s AND e GROUP BY s, e HAVING sum(n) >= (SELECT greatest(100, sum(n) // 10) FROM d)), (SELECT unnest([0, 1]) AS h))
+    SELECT s AS range_start, e AS range_end, coalesce(sum(n), 0) AS n_rows FROM r LEFT JOIN d ON day BETWEEN s AND e GROUP BY s, e HAVING coalesce(sum(n), 0) < (SELECT greatest(100, sum(n) // 10) FROM d))""",
+)
 def _range_split(spark, sf):
     """Days of orders, halved until no range holds a tenth of all."""
     days = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
@@ -108,12 +117,13 @@ def _finite_contract(spark, sf):
     return contracts.expect_finite(panel(spark, sf).withColumn("ratio", F.when(F.col("volume") > 1, F.col("px") / (F.col("volume") - 1))), ["px", "ratio"])
 
 
-@query("target_consistency", "n_rows i, n_different i", "SELECT count(*) AS n_rows, 0 AS n_different FROM labelled", "labelled")
+@query("target_consistency", "n_rows i, n_different i", "SELECT count(*) AS n_rows, count(*) FILTER (day(date) = 13) AS n_different FROM labelled", "labelled")
 def _target_consistency(spark, sf):
-    """Stored labels against labels computed anew from the panel."""
-    again = labelled(spark, sf).select("ticker", "date", F.col("target").alias("again"))
-    both = labelled(spark, sf).join(again, ["ticker", "date"])
-    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("target") != F.col("again")).alias("n_different"))
+    """Stored labels, wrong on every 13th, against labels computed anew from the session in which each label ends."""
+    stored = labelled(spark, sf).withColumn("target", F.when(F.dayofmonth("date") == 13, 1 - F.col("target")).otherwise(F.col("target")))
+    end = panel(spark, sf).select("ticker", F.col("date").alias("target_end"), F.col("px").alias("end_px"))
+    both = stored.join(end, ["ticker", "target_end"])
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("target") != (F.col("end_px") > F.col("px")).cast("int")).alias("n_different"))
 
 
 @query("separation", "last_train d, first_test d, separated b", "SELECT a AS last_train, b AS first_test, a < b AS separated FROM (SELECT max(date) AS a FROM panel WHERE date < DATE '1999-01-01'), (SELECT min(date) AS b FROM panel WHERE date >= DATE '1999-01-01')", "panel")

@@ -17,16 +17,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder in spark.checkpoint.dir and read it back; its shuffles may then go.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; without it, a folder of this machine in local mode only."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tideline-")
 
-    Only where that setting is absent (tests, a single machine) a folder of the machine is used.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back; its shuffles may then go."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tideline-"))
+        sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint()
     del df
     release(spark)
     return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, wherever Spark can reach it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

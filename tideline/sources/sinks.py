@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.contracts import ContractError
+
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = (), overwrite: bool = False, fmt: str = "parquet") -> None:
     """Write a table, by default refusing to replace one; `by` partitions its folders, so that readers prune."""
@@ -27,17 +28,33 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_json(value: object, path: str) -> None:
-    """A driver-side document, UTF-8, indented; what JSON lacks is written as text."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, ensure_ascii=False, default=str)
+def _file(spark: SparkSession, path: str):
+    """(file system, path) where Spark reaches a file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small document, UTF-8, indented, in any store that Spark reaches; what JSON lacks is written as text."""
+    fs, p = _file(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, default=str).encode("utf-8")))
+    finally:
+        stream.close()
 
 
-def update_json(path: str, **values: object) -> dict:
+def read_json(spark: SparkSession, path: str) -> object:
+    """A small document; null where there is none."""
+    fs, p = _file(spark, path)
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"]) if fs.exists(p) else None
+
+
+def update_json(spark: SparkSession, path: str, **values: object) -> dict:
     """Read, change and write a registry."""
-    old = json.load(open(path, encoding="utf-8")) if os.path.exists(path) else {}  # noqa: SIM115
-    write_json(old | values, path)
-    return old | values
+    new = (read_json(spark, path) or {}) | values
+    write_json(spark, new, path)
+    return new
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +79,21 @@ def changed_files(spark: SparkSession, inputs: str, before: dict) -> list[str]:
     return sorted(p for p in now.keys() | old.keys() if now.get(p) != old.get(p))
 
 
+def checked_reference(spark: SparkSession, path: str, inputs: str, version: str, protocol: dict) -> dict:
+    """The manifest of a finished run that may stand as a reference: same version, same protocol and unchanged files, else an error that names what differs."""
+    found = read_json(spark, path)
+    if found is None:
+        raise ContractError(f"no manifest at {path}")
+    wrong = [f"status {found.get('status')}"] if found.get("status") != "complete" else []
+    config = found.get("config", {})
+    wrong += [f"version {config.get('version')}"] if config.get("version") != version else []
+    wrong += [f"{k} = {config.get(k)!r}" for k, v in protocol.items() if config.get(k) != v]
+    wrong += [f"changed {p}" for p in changed_files(spark, inputs, found)]
+    if wrong:
+        raise ContractError("; ".join(wrong))
+    return found
+
+
 def markdown(df: DataFrame, title: str, columns: Sequence[str]) -> DataFrame:
     """A table as lines of Markdown, one for each row; write them with the text sink."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
