@@ -18,7 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .metrics import best_threshold, roc_auc
+from ..sources.checkpoint import checkpointed
+from .metrics import best_threshold, bootstrap_auc, confusion, rates, roc_auc
 from .splits import expanding_folds, fold_roles
 
 
@@ -148,7 +149,7 @@ def nested(df: DataFrame, outer: DataFrame, name: str, variants: dict[str, Seque
 
     Parameters are chosen on the fold's own purged training rows only.
     """
-    roles = fold_roles(df, outer, time).cache()
+    roles = checkpointed(fold_roles(df, outer, time))  # read once for each fold, and by the predictions later
     out: DataFrame | None = None
     for k in [r[0] for r in outer.select("fold").orderBy("fold").collect()]:
         part = roles.where(F.col("fold") == k)
@@ -161,6 +162,18 @@ def nested(df: DataFrame, outer: DataFrame, name: str, variants: dict[str, Seque
     return out
 
 
+def staged_contrasts(df: DataFrame, outer: DataFrame, name: str, variants: dict[str, Sequence[str]], grid: Sequence[dict], contrasts: Sequence[tuple[str, str]], keys: Sequence[str], entity: str, time: str = "date", target: str = "target", inner: int = 3, block: int = 20, repeats: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An experiment: (predictions of all variants on the same folds, metrics by variant, entity and fold, intervals of each contrast).
+
+    All variants see the same rows; each is compared with the one before it in its stage under shared draws of sessions.
+    """
+    found = checkpointed(nested(df, outer, name, variants, grid, keys, inner, entity, time, target))
+    scores = rates(found.groupBy("variant", entity, "outer_fold").agg(*confusion(target), F.count("*").alias("n")))
+    auc = roc_auc(found, ["variant", entity, "outer_fold"], target)
+    intervals = bootstrap_auc(found, entity, time, "variant", contrasts, block, repeats, target=target)
+    return found, scores.join(auc, ["variant", entity, "outer_fold"]), intervals
+
+
 def for_each_entity(df: DataFrame, entity: str, entities: Sequence[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Independent models: `run` on each entity's rows, results together."""
     frames = [run(df.where(F.col(entity) == e)) for e in entities]

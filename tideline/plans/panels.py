@@ -147,7 +147,11 @@ def flagship(spark, sf):
     return w.next_label(w.moving_averages(sessions(spark, sf), "px"), "px").select("*")
 
 
-@query("ablation_schema", "variant s, position i, feature s")
+_TONE, _COUNT = (", ".join(f"'{c}{x}'" for x in ("", "_lag_1", "_lag_2", "_lag_3", "_mean_3", "_mean_5")) for c in ("tone", "news_count"))
+_LISTS = {"add_tone": f"'px', 'volume', {_TONE}", "add_news_count": f"'px', 'volume', {_COUNT}", "drop_tone": f"'px', 'volume', {_COUNT}", "drop_news_count": f"'px', 'volume', {_TONE}"}
+
+
+@query("ablation_schema", "variant s, position i, feature s", " UNION ALL ".join(f"SELECT '{v}' AS variant, generate_subscripts([{x}], 1) - 1 AS position, unnest([{x}]) AS feature" for v, x in _LISTS.items()))
 def _ablation_schema(spark, sf):
     """Schemas of the ablation variants of one feature family, in order."""
     from ..operators.reshape import feature_subset

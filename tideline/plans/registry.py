@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composites, measures, panels, relations, selection, texts  # noqa: F401  they register their queries
+from . import composites, measures, panels, relations, scans, selection, texts  # noqa: F401  they register their queries
 from .catalog import ORACLES, QUERIES
 
 

@@ -173,3 +173,56 @@ def _importance(spark, sf):
     model = ml.fit(splits.purged(_features(spark, sf), date(2000, 1, 1)), "forest", FEATURES, trees=20, depth=4)
     ranked = sorted(model.importance().items(), key=lambda kv: (-kv[1], kv[0]))
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")
+
+
+_FEATURES_SQL = """SELECT ticker, date, target_end, target, coalesce(px / nullif(lag(px) OVER w, 0) - 1, 0) AS r, coalesce(volume / nullif(avg(volume) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0), 0) AS rv,
+  px / avg(px) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) - 1 AS rel_sma_5, px / avg(px) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) - 1 AS rel_sma_20
+  FROM (SELECT ticker, date, px, volume, lead(date) OVER v AS target_end, CASE WHEN lead(px) OVER v > px THEN 1 ELSE 0 END AS target FROM panel WINDOW v AS (PARTITION BY ticker ORDER BY date)) WINDOW w AS (PARTITION BY ticker ORDER BY date)"""
+_TRAIN_SQL = f"(SELECT * FROM ({_FEATURES_SQL}) WHERE target_end IS NOT NULL AND date < DATE '2000-01-01' AND target_end < DATE '2000-01-01')"
+
+
+@query(
+    "logistic_optimum",
+    "feature s, moment f1",
+    "SELECT 'intercept' AS feature, CAST(sum(target) AS DOUBLE) AS moment FROM "
+    + _TRAIN_SQL
+    + "".join(f" UNION ALL SELECT '{f}', sum(target * (x - m) / d) FROM (SELECT target, coalesce({f}, median({f}) OVER ()) AS x, avg(coalesce({f}, 0)) OVER () AS m, stddev_pop({f}) OVER () AS d FROM {_TRAIN_SQL})" for f in FEATURES),
+    "panel",
+)
+def _logistic_optimum(spark, sf):
+    """At the optimum of penalised logistic regression, predicted and observed moments of each standardised feature differ by its coefficient."""
+    train = splits.purged(_features(spark, sf), date(2000, 1, 1))
+    model = ml.fit(train, "logistic", FEATURES, c=1.0)
+    found = model.preparation.apply(model.predict(train))
+    moments = found.agg(F.sum("probability").alias("intercept"), *(F.sum(F.col("probability") * F.col(f)).alias(f) for f in FEATURES)).first()
+    weights = {"intercept": 0.0} | dict(zip(FEATURES, map(float, model.model.coefficients)))
+    return spark.createDataFrame([(f, moments[f] + weights[f]) for f in weights], "feature string, moment double")
+
+
+@query(
+    "nested_rows",
+    "ticker s, date d, variant s, outer_fold i, target i, sound b",
+    "SELECT l.ticker, l.date, v.variant, f.k AS outer_fold, l.target, true AS sound FROM labelled l JOIN (SELECT date, ntile(2) OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM labelled WHERE date >= DATE '2000-06-01')) f USING (date), (SELECT unnest(['returns', 'relative']) AS variant) v",
+    "labelled",
+)
+def _nested_rows(spark, sf):
+    """Each row of an outer fold is predicted once by each variant, with a probability that its prediction follows."""
+    df = _features(spark, sf)
+    outer = splits.outer_folds(df, date(2000, 6, 1), 2)
+    found = ml.nested(df, outer, "logistic", {"returns": ["r", "rv"], "relative": FEATURES}, [{"c": 1.0}], ["ticker", "date"], inner=2)
+    return found.withColumn("sound", F.col("probability").between(0, 1) & (F.col("prediction") == (F.col("probability") >= 0.5).cast("int")))
+
+
+@query(
+    "staged_contrasts",
+    "variant s, ticker s, outer_fold i, n i, positives i",
+    "SELECT v.variant, l.ticker, f.k AS outer_fold, count(*) AS n, CAST(sum(l.target) AS BIGINT) AS positives FROM labelled l JOIN (SELECT date, ntile(2) OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM labelled WHERE date >= DATE '2000-06-01')) f USING (date), (SELECT unnest(['base', 'returns', 'relative']) AS variant) v GROUP BY 1, 2, 3",
+    "labelled",
+)
+def _staged_contrasts(spark, sf):
+    """Three stages of features on the same folds: rows and positives that each stage's metrics stand on."""
+    df = _features(spark, sf)
+    outer = splits.outer_folds(df, date(2000, 6, 1), 2)
+    stages = {"base": ["rv"], "returns": ["r", "rv"], "relative": FEATURES}
+    _, scores, _ = ml.staged_contrasts(df, outer, "logistic", stages, [{"c": 1.0}], [("base", "returns"), ("returns", "relative")], ["ticker", "date"], "ticker", inner=2, repeats=100)
+    return scores.withColumn("positives", F.col("tp") + F.col("fn"))

@@ -58,9 +58,12 @@ def _eligibility(spark, sf):
     return n.select("event_id", text.eligible("title", "url", "title", "relevance", r"(?i)^error [0-2]$", "/view").alias("eligible"))
 
 
-@query("normalized_title", "doc_id i, title s")
+@query("normalized_title", "c_custkey i, title s", "SELECT c_custkey, 'full ' || lower(c_name) || ' strasse fi ' || lower(c_mktsegment) || ' é' AS title FROM customer")
 def _normalized(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalized("text").alias("title"))
+    """Full-width letters, ligatures, sharp s, a combining accent and white space of several kinds."""
+    c = table(spark, sf, "customer")
+    title = F.concat(F.lit(" ＦＵＬＬ\u00a0"), "c_name", F.lit("\t\u3000Straße \n ﬁ "), "c_mktsegment", F.lit("  E\u0301 "))
+    return c.select("c_custkey", text.normalized(title).alias("title"))
 
 
 @query("date_fns", "o_orderkey i, stamp t, day d, year i, month s, middle d, three_back d", "SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y%m%dT%H%M%S'), '%Y%m%dT%H%M%S') AS stamp, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS year, strftime(o_orderdate, '%Y-%m') AS month, CAST(o_orderdate AS DATE) + CAST(floor((DATE '2001-12-31' - CAST(o_orderdate AS DATE)) / 2) AS INTEGER) AS middle, CAST(CAST(o_orderdate AS DATE) - INTERVAL 3 YEAR AS DATE) AS three_back FROM orders")
