@@ -1,8 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
 A text is the sequence of its words, parted by single spaces, between a start and an end mark, and n-grams run across words.
-Documents are packed into units: their compressed texts and the distinct n-grams in them, with how often trusted documents
-of the unit hold each. Units send their n-grams packed to the shards that own them, which add the counts up; joins of the
+Documents are packed into units, compressed, in buckets that later joins meet without moving a text. Units send their distinct n-grams,
+with how often their trusted documents hold each, packed to the shards that own them, which add the counts up; joins of the
 shards' tables level by level give each seen n-gram its probability, and what the model has not seen backs off by joins with
 shorter ones. The shards' answers go back to the units, which score every character of every document. One trusted document
 in `held_out` is not counted: a document passes if its perplexity is within its language's quantile among those.
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpointed, mix, partitions, small_batches, table, trim
+from .common import bucketed, checkpointed, each_row, mix, partitions, small_batches, table, trim
 
 #: Marks of a text's end and start, and what fills an n-gram that reaches beyond the start; no word holds white space.
 END, FIRST, PAD = "\n", "\r", "\v"
 #: Characters at which a unit is written, and of which n-grams are computed at once: both bound a task's memory.
-UNIT_CHARS, CHUNK_CHARS = 8_000_000, 2_000_000
+UNIT_CHARS, CHUNK_CHARS = 16_000_000, 2_000_000
 #: Perplexities are compared by their logarithm in steps of this size, so that a histogram has a bounded number of bins.
 STEP = 0.001
 #: Discounts from counts of counts are kept from this up: short n-grams have few of them, and a discount of 0 would leave
@@ -143,7 +143,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def _pack(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=9).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -171,68 +171,89 @@ def _unpack_grams(data: bytes, order: int) -> np.ndarray:
     return np.ascontiguousarray(_from_planes(data, "<u4").reshape(order, -1).T)
 
 
-#: kind 0: an owner's answer, `grams` its logarithms; kind 1: a unit.
-UNIT = "unit long, kind int, owner int, ids array<long>, langs array<string>, texts array<long>, states array<int>, sizes array<int>, words array<int>, text binary, grams binary, counts binary, cuts array<int>"
+UNIT = "unit long, ids array<long>, langs array<string>, hashes array<long>, sizes array<int>, words array<int>, text binary"
 UNIT_NAMES = [x.split()[0] for x in UNIT.split(", ")]
-UNIT_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, *[pa.binary()] * 3, pa.list_(pa.int32())]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), UNIT_TYPES)], UNIT_NAMES)
-
-
-def _unit(number: int, docs: list[tuple], order: int, owners: int) -> tuple:
-    """A unit's row from (id, lang, text hash, state, marked text, words) of its documents."""
-    ids, langs, hashes, states, texts, words = zip(*docs)
-    text = "".join(texts)
-    sizes = np.array([len(t) for t in texts], np.int32)
-    grams, counts, cuts = np.zeros((0, order), "<u4"), np.zeros(0, np.int64), np.zeros(owners + 1, np.int64)
-    if text:
-        k = Keys(text, order)
-        trains = np.repeat(np.array(states) == TRAINS, sizes)
-        keys, many = [], []
-        for a, b, key, is_one in k.chunks():
-            for x, n in (np.unique(key[is_one & trains[a:b]], return_counts=True), (np.unique(key[is_one & ~trains[a:b]]), None)):
-                keys.append(x)
-                many.append(np.zeros(len(x), np.int64) if n is None else n)
-        found, counts = _summed(keys, many)
-        grams = k.grams(found)
-        owner = owner_of(grams, owners)
-        by = np.argsort(owner, kind="stable")
-        grams, counts, cuts = grams[by], counts[by], np.searchsorted(owner[by], np.arange(owners + 1))
-    return number, 1, None, ids, langs, hashes, states, sizes.tolist(), words, _pack(text.encode("utf-8", "surrogatepass")), _pack_grams(grams), _planes(counts, "<i8"), cuts.tolist()
-
-
-def text_units(docs: DataFrame, trusted: DataFrame, params: ModelParams, owners: int) -> DataFrame:
-    """Units of documents; `trusted` has the distinct doc_id of those that train or are held out."""
-    order = params.order
+UNIT_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2, pa.binary()]
+MESSAGE = "owner int, unit long, grams binary, counts binary"
+
+
+def text_units(docs: DataFrame, order: int) -> DataFrame:
+    """Units of documents: their texts between marks, compressed together."""
     small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64("text").alias("hash"), "text")
-    slim = slim.withColumn("__k", F.coalesce("doc_id", "hash"))  # rows without an id are dealt by their texts
-    marks = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__k"), F.when(F.pmod(F.xxhash64("doc_id"), F.lit(params.held_out)) == 0, HELD_OUT).otherwise(TRAINS).alias("state"))
-    slim = slim.join(marks, "__k", "left").select("doc_id", "lang", "hash", F.when(F.col("doc_id").isNotNull(), F.col("state")).alias("state"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         open_, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            ids, langs, hashes, texts, words = zip(*open_)
+            row = (number, ids, langs, hashes, [len(t) for t in texts], words, _pack("".join(texts).encode("utf-8", "surrogatepass")))
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, UNIT_TYPES)], UNIT_NAMES)
+
         for batch in batches:
-            for i, g, h, state, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, g, h, t in zip(*(c.to_pylist() for c in batch.columns)):
                 text, n = marked(t, order)
-                open_.append((i, g, h, state or UNTRUSTED, text, n))
+                open_.append((i, g, h, text, n))
                 size += len(text)
                 if size >= UNIT_CHARS or len(open_) >= UNIT_CHARS // 64:
-                    yield _batch([_unit(number, open_, order, owners)])
+                    yield out()
                     number, open_, size = number + 1, [], 0
         if open_:
-            yield _batch([_unit(number, open_, order, owners)])
+            yield out()
         trim()
 
     return slim.mapInArrow(pack, UNIT)
 
 
+def unit_states(units: DataFrame, trusted: DataFrame, held_out: int) -> DataFrame:
+    """(unit, states): the places of a unit's trusted documents and what each is to the model; `trusted` has each doc_id once."""
+    marks = trusted.select("doc_id", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0, HELD_OUT).otherwise(TRAINS).alias("state"))
+    placed = units.select("unit", F.posexplode("ids").alias("pos", "doc_id")).join(marks, "doc_id")
+    return placed.groupBy("unit").agg(F.collect_list(F.struct("pos", "state")).alias("states"))
+
+
+def _states(r: dict) -> np.ndarray:
+    out = np.full(len(r["sizes"]), UNTRUSTED)
+    for x in r["states"] or ():
+        out[x["pos"]] = x["state"]
+    return out
+
+
+def _text(r: dict) -> str:
+    return _unpack(r["text"]).decode("utf-8", "surrogatepass")
+
+
+def unit_grams(units: DataFrame, order: int, owners: int) -> DataFrame:
+    """(owner, unit, grams, counts): the distinct n-grams of each unit, by owner, and how often its training documents hold them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in each_row(batches):
+            text = _text(r)
+            if not text:
+                continue
+            k, keys, many = Keys(text, order), [], []
+            trains = np.repeat(_states(r) == TRAINS, r["sizes"])
+            for a, b, key, is_one in k.chunks():
+                for x, n in (np.unique(key[is_one & trains[a:b]], return_counts=True), (np.unique(key[is_one & ~trains[a:b]]), None)):
+                    keys.append(x)
+                    many.append(np.zeros(len(x), np.int64) if n is None else n)
+            found, counts = _summed(keys, many)
+            grams = k.grams(found)
+            owner = owner_of(grams, owners)
+            by = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[by], np.arange(owners + 1))
+            at = [o for o in range(owners) if cuts[o] < cuts[o + 1]]
+            part = [by[cuts[o] : cuts[o + 1]] for o in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r["unit"]] * len(at), pa.int64()), pa.array([_pack_grams(grams[p]) for p in part], pa.binary()), pa.array([_planes(counts[p], "<i8") for p in part], pa.binary())], ["owner", "unit", "grams", "counts"])
+        trim()
+
+    return units.select("unit", "sizes", "text", "states").mapInArrow(ask, MESSAGE)
+
+
 def model_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, float]:
     """((gram, value) of seen n-grams, (h, left) of their histories, probability of an unseen character).
 
@@ -288,15 +309,16 @@ def backed_off(asked: DataFrame, values: DataFrame, histories: DataFrame, unseen
 def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = ModelParams()) -> DataFrame:
     """(doc_id, lang, hash, state, n_words, log_ppl) of each row: natural logarithm of the perplexity for a character; null without words."""
     order, owners = params.order, partitions(docs.sparkSession)
-    units = checkpointed(text_units(docs, trusted, params, owners))
+    units, drop = bucketed(text_units(docs, order), "unit", owners)
+    try:
+        return _perplexities(units, trusted, params, order, owners)
+    finally:
+        drop()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                grams, counts, cuts = _unpack_grams(r["grams"], order), _from_planes(r["counts"], "<i8"), r["cuts"]
-                at = [k for k in range(owners) if cuts[k] < cuts[k + 1]]
-                part = [slice(cuts[k], cuts[k + 1]) for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([r["unit"]] * len(at), pa.int64()), pa.array([_pack_grams(grams[p]) for p in part], pa.binary()), pa.array([_planes(counts[p], "<i8") for p in part], pa.binary())], ["owner", "unit", "grams", "counts"])
+
+def _perplexities(units: DataFrame, trusted: DataFrame, params: ModelParams, order: int, owners: int) -> DataFrame:
+    states = checkpointed(unit_states(units, trusted, params.held_out))
+    messages = checkpointed(unit_grams(units.join(states, "unit", "left"), order, owners))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each owner's n-grams, with the sums of their counts; owners come one after the other."""
@@ -319,10 +341,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
                     keys, counts = [merged[0]], [merged[1]]
         yield from out()
 
-    def asking() -> DataFrame:
-        return units.select("unit", "grams", "counts", "cuts").mapInArrow(ask, "owner int, unit long, grams binary, counts binary")
-
-    counted = checkpointed(asking().repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(add, "gram string, c long"))
+    counted = checkpointed(messages.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(add, "gram string, c long"))
     values, histories, unseen = model_tables(counted.where("c > 0"), order)
     scored = checkpointed(backed_off(counted.select("gram"), values, histories, unseen, order))
 
@@ -339,10 +358,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([None] * len(at), pa.int64()), pa.array([_pack_grams(grams[p]) for p in part], pa.binary()), pa.array([logs[p].astype("<f4").tobytes() for p in part], pa.binary())], ["owner", "unit", "grams", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An owner's values come first, then the units that ask; answers stand in the order of the questions."""
+        """An owner's values come first, then the units that ask; an answer has its questions with it."""
         now, keys, logs, ready = None, [], [], False
         for batch in batches:
-            rows = []
+            found = []
             for owner, unit, g, c in zip(*(c.to_pylist() for c in batch.columns)):
                 if owner != now:
                     now, keys, logs, ready = owner, [], [], False
@@ -354,53 +373,43 @@ def perplexities(docs: DataFrame, trusted: DataFrame, params: ModelParams = Mode
                     all_, value = np.concatenate(keys), np.concatenate(logs)
                     by = np.argsort(all_)
                     keys, logs, ready = all_[by], value[by], True
-                found = logs[np.searchsorted(keys, as_bytes(_unpack_grams(g, order)))]
-                rows.append((unit, 0, owner, *[None] * 7, found.tobytes(), None, None))
-            if rows:
-                yield _batch(rows)
-
-    both = scored.mapInArrow(shard, "owner int, unit long, grams binary, counts binary").unionByName(asking())
-    answers = both.repartition(owners, "owner").sortWithinPartitions(F.col("owner"), F.col("unit").asc_nulls_first()).mapInArrow(answer, UNIT)
-
-    def judge(r: dict, logs: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array(r["sizes"], np.int64)
-        sums = np.zeros(len(sizes))
-        text = _unpack(r["text"]).decode("utf-8", "surrogatepass")
-        if text:
-            k, grams = Keys(text, order), _unpack_grams(r["grams"], order)
-            key = k.keys([grams[:, j] for j in range(order)])
-            by = np.argsort(key)
-            key, value = key[by], np.concatenate(logs).astype(np.float64)[by]
-            each = np.zeros(len(k.codes))
-            for a, b, at, is_one in k.chunks():
-                each[a:b][is_one] = value[np.searchsorted(key, at[is_one])]
-            has = sizes > 0
-            sums[has] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[has])
-        ppl = [None if not n else float(-s / (n - order)) for s, n in zip(sums, r["sizes"])]
-        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), pa.array(r["texts"], pa.int64()), pa.array(r["states"], pa.int32()), pa.array(r["words"], pa.int64()), pa.array(ppl, pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "hash", "state", "n_words", "log_ppl"])
+                found.append((unit, g, logs[np.searchsorted(keys, as_bytes(_unpack_grams(g, order)))].tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary()))], ["unit", "grams", "logs"])
+
+    both = scored.mapInArrow(shard, MESSAGE).unionByName(messages.withColumn("counts", F.lit(None).cast("binary")))
+    answers = both.repartition(owners, "owner").sortWithinPartitions(F.col("owner"), F.col("unit").asc_nulls_first()).mapInArrow(answer, "unit long, grams binary, logs binary")
+    answers = answers.groupBy("unit").agg(F.collect_list(F.struct("grams", "logs")).alias("answers"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, logs = None, []
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                if r["unit"] != now:
-                    now, logs = r["unit"], []
-                if r["kind"] == 0:  # owners in their order
-                    logs.append(np.frombuffer(r["grams"], "<f4"))
-                else:
-                    yield judge(r, logs)
+        for r in each_row(batches):
+            sizes = np.array(r["sizes"], np.int64)
+            sums, text = np.zeros(len(sizes)), _text(r)
+            if text:
+                k = Keys(text, order)
+                key = np.concatenate([k.keys(list(_unpack_grams(x["grams"], order).T)) for x in r["answers"]])
+                by = np.argsort(key)
+                key, value = key[by], np.concatenate([np.frombuffer(x["logs"], "<f4") for x in r["answers"]]).astype(np.float64)[by]
+                has = np.flatnonzero(sizes)
+                starts = np.cumsum(sizes)[has] - sizes[has]
+                for a, b, at, is_one in k.chunks():
+                    each = np.zeros(b - a)
+                    each[is_one] = value[np.searchsorted(key, at[is_one])]
+                    lo, hi = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b)  # the documents in this chunk
+                    sums[has[lo:hi]] += np.add.reduceat(each, np.maximum(starts[lo:hi] - a, 0))
+            ppl = [None if not n else float(-s / (n - order)) for s, n in zip(sums, r["sizes"])]
+            columns = [pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), pa.array(r["hashes"], pa.int64()), pa.array(_states(r), pa.int32()), pa.array(r["words"], pa.int64()), pa.array(ppl, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "hash", "state", "n_words", "log_ppl"])
         trim()
 
-    dealt = units.unionByName(answers).repartition(owners, "unit").sortWithinPartitions("unit", "kind", "owner")
-    return dealt.mapInArrow(score, "doc_id long, lang string, hash long, state int, n_words long, log_ppl double")
+    met = units.join(answers, "unit", "left").join(states, "unit", "left")
+    return checkpointed(met.mapInArrow(score, "doc_id long, lang string, hash long, state int, n_words long, log_ppl double"))
 
 
 def _classified(docs: DataFrame, labels: DataFrame, params: ModelParams) -> DataFrame:
     clean = "coalesce(toxic, 0) = 0" if "toxic" in labels.columns else "true"
     trusted = labels.where(f"quality = 1 AND {clean} AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    scores = checkpointed(perplexities(docs, trusted, params))
+    scores = perplexities(docs, trusted, params)
     bins = scores.where(f"state = {HELD_OUT} AND log_ppl IS NOT NULL").groupBy("lang", F.floor(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n"))
     bins = checkpointed(bins)  # bounded for each language by the steps between the smallest and the largest perplexity
 
