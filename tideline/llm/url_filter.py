@@ -55,6 +55,10 @@ def pattern_rules() -> list[PatternRule]:
     return out
 
 
+#: So many rules stand in the plan itself, and pages need no shuffle; more of them are a table that URLs' tokens are joined with.
+MOST_INLINE = 500
+
+
 def _lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
@@ -72,8 +76,8 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.split(text, "[^a-z0-9]+"))
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", site_rules=SITE_RULES, own_rules: list[PatternRule] | None = None, default: str = "allow") -> DataFrame:
-    """(page_id, host, path, rule, verdict, n_candidates) of each row, without a shuffle of pages.
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", site_rules=SITE_RULES, own_rules: list[PatternRule] | None = None, default: str = "allow", most_inline: int = MOST_INLINE) -> DataFrame:
+    """(page_id, host, path, rule, verdict, n_candidates) of each row; up to `most_inline` rules without a shuffle of pages.
 
     Every rule lies in the index under the one of its tokens that the fewest URLs hold; these counts (one for each token
     of a rule, however many pages there are) come from one aggregation over all pages. Null URLs and those without ://
@@ -90,12 +94,22 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     words = sorted({t for r in rules for t in r[4]})
     if not words:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).cast("long").alias("n_candidates"))
-    all_words = F.array(*map(F.lit, words))
-    counted = urls.select(F.explode(F.array_intersect(_tokens(F.col("seen")), all_words)).alias("token")).groupBy("token").count()
+    spark, inline = pages.sparkSession, len(rules) <= most_inline
+    tokens = urls.select("host", "path", "seen", F.explode(_tokens(F.col("seen"))).alias("token"))
+    if inline:
+        counted = urls.select(F.explode(F.array_intersect(_tokens(F.col("seen")), F.array(*map(F.lit, words)))).alias("token")).groupBy("token").count()
+    else:
+        counted = tokens.join(spark.createDataFrame([(w,) for w in words], "token string"), "token").groupBy("token").count()
     count = {r["token"]: r["count"] for r in counted.collect()}  # as many rows as the rules have tokens at most
     index: dict[str, list] = {}
     for r in rules:
         index.setdefault(min(r[4], key=lambda t: (count.get(t, 0), t)), []).append(r)
+    if not inline:
+        listed = spark.createDataFrame([(t, r[0], r[1], r[2], r[3], r[5]) for t, found in index.items() for r in found], "token string, ord int, verdict string, name string, pattern string, site boolean")
+        fits = F.when(F.col("site"), F.regexp_like(F.concat("host", "path"), F.col("pattern"))).otherwise(F.regexp_like("seen", F.col("pattern")))
+        hits = tokens.join(listed, "token").groupBy("host", "path", "seen").agg(F.min(F.when(fits, F.struct("ord", "verdict", "name"))).alias("hit"), F.count_distinct("ord").alias("n"))
+        out = urls.join(hits, ["host", "path", "seen"], "left")
+        return out.select("page_id", "host", "path", F.col("hit.name").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"), F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"))
 
     def literal(r) -> Column:
         return F.struct(F.lit(r[0]).alias("ord"), F.lit(r[1]).alias("verdict"), F.lit(r[2]).cast("string").alias("name"), F.lit(r[3]).alias("pattern"), F.lit(r[5]).alias("site"))
