@@ -9,6 +9,7 @@ from functools import lru_cache
 from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,7 +136,10 @@ def automaton():
 
 
 def detections(joined: bytes) -> list[tuple[int, int, Rule]]:
-    """Finds that stay, as (start, end, rule): in the order of priority, then length, a find within one that stays is suppressed."""
+    """Finds that stay, as (start, end, rule): in the order of priority, then length, a find within one that stays is suppressed.
+
+    Of finds with the same span and priority the alphabetically first label stays.
+    """
     opened: set[int] = set()
     for _, found in automaton().iter(joined.decode("utf-8", "replace")):
         opened.update(found)
@@ -165,18 +169,22 @@ def scan(text: str | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, spans)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().translate(TO_SPACE).split()
     joined = b" " + b" ".join(words) + b" "
-    places, base = [], set()
+    at, base = [], set()
     for phrase, label in BASE.items():
         p = b" " + phrase.encode() + b" "
-        at = joined.find(p)
-        while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+        k = joined.find(p)
+        while k >= 0:
+            at.append(k)
             base.add(label)
-            at = joined.find(p, at + 1)
+            k = joined.find(p, k + 1)
     found = detections(joined) if any(g in joined for g in GATES) else []
+    # the number of a word is that of the spaces before it, counted once for all places
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if at or found else np.zeros(0, np.int64)
+    word = lambda x: np.searchsorted(spaces, x).tolist()
+    places = word(at)
     labels = base | {r.label for _, _, r in found}
     score = max([1.0 if base else 0.0, *(r.confidence for *_, r in found)])
-    spans = [f"{joined.count(b' ', 0, s) - 1}:{joined.count(b' ', 0, e)}:{r.label}" for s, e, r in found]
+    spans = [f"{a - 1}:{b}:{r.label}" for a, b, (_, _, r) in zip(word([f[0] for f in found]), word([f[1] for f in found]), found)]
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, ";".join(spans)
 
 
@@ -187,7 +195,7 @@ KINDS = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labels, places and spans of license notices in each document, in one pass without a shuffle.
 
-    Null texts count as empty: 0 words, null places, empty labels, score 0. Rows with equal or null ids are scanned apart;
+    Null texts count as empty: 0 words, null places, empty labels, score 0. Rows with equal or null ids are scanned apart; an empty table gives an empty result;
     long texts are scanned whole; other columns are not read. `spans` lists first word, end word and label of each find.
     """
     small_batches(docs.sparkSession)
