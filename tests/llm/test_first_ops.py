@@ -104,3 +104,59 @@ def test_urls(spark):
     assert [got[i][3] for i in (11, 12, 13, 14)] == ["block", "allow", "allow", "block"]
     assert got[15][:2] == ("a:", "//com/en/")
     assert filter_urls(df.limit(0)).count() == 0
+
+
+def test_a_long_list_of_rules_is_joined(spark):
+    from tideline.llm.url_filter import PatternRule, filter_urls, pattern_rules
+
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    df = df.unionByName(df.limit(20)).unionByName(spark.createDataFrame([(None, "http://a.org/es/x"), (-1, None), (-2, "")], "page_id long, url string"))
+    key = lambda x: sorted(map(str, x.collect()))
+    assert key(filter_urls(df)) == key(filter_urls(df, most_inline=0))
+    many = [PatternRule("block", f"(^|[^a-z0-9])nosuchword{k}([^a-z0-9]|$)", (f"nosuchword{k}",)) for k in range(3000)]
+    assert key(filter_urls(df, own_rules=pattern_rules() + many)) == key(filter_urls(df))
+
+
+def test_license_rules_without_prefilter():
+    """Every rule over every text, and each find against each that stays."""
+    import random
+
+    from tideline.llm.license_scan import FAMILIES, GATES, PASSAGES, detections, rules
+
+    rng = random.Random(11)
+    pool = [n for _, names, _, _ in FAMILIES for n in names] + [c for *_, c, _ in FAMILIES] + [p for _, p in PASSAGES] + [f"creative commons {x}" for x in ("attribution", "zero")] + [k.decode() for k in GATES]
+    pool = [re.sub(r"\(\?:|\[.*?\]|[()?|.*+{}]", "", x) for x in pool] + "cc by nc sa nd version v 2 0 1 3 4 or later only spdx license identifier the of in under".split()
+    for _ in range(1500):
+        joined = (" " + " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) + " ").replace("  ", " ").encode()
+        finds = sorted(((r.priority, m.start(), -m.end(), r.label, r) for r in rules() for m in r.pattern.finditer(joined)), key=lambda x: x[:4])
+        stay = []
+        for _, start, end, _, r in finds:
+            if not any(s <= start and -end <= e for s, e, _ in stay):
+                stay.append((start, -end, r))
+        assert [(s, e, r.label) for s, e, r in detections(joined)] == sorted((s, e, r.label) for s, e, r in stay)
+
+
+def test_license_scan_of_a_long_text_and_empty_tables(spark, docs):
+    import public_tokenizers
+
+    from tideline.llm import license_scan
+    from tideline.llm.pieces import piece_ids
+
+    n = 100_000
+    got = license_scan.scan("Apache License\n" * n)
+    assert got[:4] == (2 * n, n, 0, 2 * n - 2) and got[4] == "apache"
+    assert license_scan.license_scan(docs.limit(0)).count() == 0
+    assert piece_ids(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_each_chunk_is_segmented_once(spark, monkeypatch):
+    import public_tokenizers
+
+    from tideline.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(5)
+    key = lambda x: sorted(map(str, x.collect()))
+    want = key(pieces.piece_ids(sample, path))
+    monkeypatch.setattr(pieces, "UNIT_CHARS", 50_000)  # many units ask for the same chunks
+    assert key(pieces.piece_ids(sample, path)) == want

@@ -100,6 +100,9 @@ def reply_parents(messages: DataFrame) -> DataFrame:
     The outermost quote level that links decides, then the quoted characters, then the later message.
     """
     quoting = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    # only conversations in which a line is quoted can have links; one row for each of them tells
+    marked = quoting.where((F.instr("text", ">") > 0) & F.regexp_like("text", F.lit(r"(?m)^[ \t>]*>"))).select("conv_id").distinct()
+    quoting = quoting.join(marked, "conv_id", "left_semi")
     units = quoting.select("conv_id", "turn", F.inline(_passages(parsed(F.col("text"))))).where("length(p) > 0")
     # two hashes, so that different passages of a conversation are told apart at any size
     units = units.select("conv_id", "turn", "level", F.xxhash64("p").alias("h"), F.xxhash64(F.lit(1), "p").alias("g"), F.length("p").alias("chars")).distinct()
@@ -135,7 +138,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         parents = parents.join(thread_roots(parents), ["conv_id", "turn"])
     else:
         parents = parents.withColumn("root_turn", F.col("parent_turn"))
-    out = slim.join(parents, ["conv_id", "turn"], "left").withColumn("__lines", parsed(F.col("text")))
+    out = slim.join(parents, ["conv_id", "turn"], "left").withColumn("__lines", F.when(F.instr("text", ">") > 0, parsed(F.col("text"))))
     out = out.withColumn("n_quoted", F.coalesce(F.size(F.filter("__lines", lambda s: s["level"] > 0)), F.lit(0)).cast("long")).withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
     out = out.withColumn("text", F.when(F.col("n_quoted") > 0, _own(F.col("__lines"))).otherwise(F.col("text"))).withColumn("root_turn", F.coalesce("root_turn", "turn"))
     return with_positions(out.drop("__lines")).select("conv_id", "turn", "role", "parent_turn", "root_turn", "position", "n_quoted", "n_linked", "text")
