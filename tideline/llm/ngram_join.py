@@ -5,8 +5,9 @@
    first members of another set (pigeonhole); sets that miss this bound have no partner and leave.
 2. What stays is ordered anew, rare members first, and tied together by members of prefixes: two linked sets share a
    member of their prefixes, so they lie in one cluster.
-3. Each cluster is joined by a trie. Clusters of more than `block` sets are cut into blocks that share leaders; then the
-   sets outside of the cluster's largest component are probed against every block. No pair list is made anywhere.
+3. Each cluster is joined by a trie. Clusters of more than `block` sets are cut into blocks that share leaders, which links
+   what is alike already; then sets meet again by the members of their prefixes, but only where the sets of a member are
+   not all linked yet, and only with the members' own sets. No pair list is made anywhere.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import checkpointed, hash_words, mix, partitions, small_batches, table
+from .common import checkpointed, hash_words, mix, partitions, runs_of, small_batches, table
 from .prefix_tree import DEN, NUM, components, link
 
 WIDTH = 5
@@ -146,17 +147,11 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield _sent(rows)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list] = {}
-        for batch in batches:
-            rows = batch.to_pylist()
-            through = [tuple(r.values()) for r in rows if r["key"] < 0]
-            if through:
-                yield _sent(through)
-            for r in rows:
-                if r["key"] >= 0:
-                    asked.setdefault(r["key"], []).append((r["chunk"], r["members"], r["docs"]))
-        for key in list(asked):
-            got = asked.pop(key)
+        for key, rows in runs_of(batches, "key"):
+            if key < 0:
+                yield _sent([tuple(r.values()) for r in rows])
+                continue
+            got = [(r["chunk"], r["members"], r["docs"]) for r in rows]
             members = np.concatenate([_from_five(m) for _, m, _ in got])
             doc = np.concatenate([np.frombuffer(d, "<u2") for *_, d in got])
             which = np.repeat(np.arange(len(got)), [len(d) // 2 for *_, d in got])
@@ -171,33 +166,28 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield _sent(rows)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heard: dict[int, np.ndarray] = {}
-        about: dict[int, tuple] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["key"] < 0:
-                    about[r["chunk"]] = (r["ids"], r["n"], r["first"], r["second"], r["shared"])
-                else:
-                    x = np.bincount(np.frombuffer(r["docs"], "<u2"), minlength=NOBODY)
-                    heard[r["chunk"]] = heard[r["chunk"]] + x if r["chunk"] in heard else x
-        for chunk, (ids, n, first, second, shared) in about.items():
+        for _, rows in runs_of(batches, "chunk"):
+            about, *answers = sorted(rows, key=lambda r: r["key"])
+            ids, n, first, second, shared = (about[c] for c in ("ids", "n", "first", "second", "shared"))
             n, shared = np.array(n, np.int64), np.array(shared, np.int64)
             same, count = shared >> 32, shared & 0xFFFFFFFF
-            if chunk in heard:
-                count = count + heard[chunk][same]
+            heard = np.zeros(NOBODY, np.int64)
+            for r in answers:
+                heard += np.bincount(np.frombuffer(r["docs"], "<u2"), minlength=NOBODY)
+            count = count + heard[same]
             active = (count >= extra(least(n))) & (n > 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(active)], ["doc_id", "n", "first", "second", "active"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = slim.mapInArrow(send, SENT).repartition(keys // 4, "key")
-    back = sent.mapInArrow(answer, SENT).repartition(keys // 4, "chunk")
+    sent = slim.mapInArrow(send, SENT).repartition(keys // 4, "key").sortWithinPartitions("key")
+    back = sent.mapInArrow(answer, SENT).repartition(keys // 4, "chunk").sortWithinPartitions("chunk")
     return back.mapInArrow(judge, "doc_id long, n long, first long, second long, active boolean")
 
 
 def active_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
     """(rep, chunk, members) of the class representatives that may have partners; members are packed, in the order of hashes.
 
-    A chunk is what one task has computed; it stays with the rows once they are written.
+    A chunk is what one task has computed, of bounded size; it stays with the rows once they are written.
     """
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("first", "second").agg(F.min("doc_id").alias("rep"), F.max("active").alias("active")).where("active")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps.select("rep", "first", "second"), "rep")
@@ -205,13 +195,16 @@ def active_sets(docs: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFra
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId()
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 s = shingles(r["text"], width)
                 if fingerprint(s) == (r["first"], r["second"]):  # ids that stand for several texts
                     rows.append((r["rep"], chunk, s.tobytes()))
+                    size += len(s)
+                    if size >= CHUNK_MEMBERS:
+                        chunk, size = chunk + 1, 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["rep", "chunk", "members"])
 
@@ -227,117 +220,125 @@ def _counted(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), COUNTED_TYPES)], COUNTED_NAMES)
 
 
-def cluster_edges(sets: DataFrame) -> DataFrame:
-    """Edges (src, dst) of a forest that ties sets whose prefixes share a member.
+def _prefixes(held: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each set of a chunk the members of its prefix that another set holds, rarest first; `counts` has how many sets hold each of the chunk's members.
 
-    Chunks of sets ask the owner of each of their members how many sets hold it. A set of n needs ceil(0.8 n) members that
-    another holds too, else it leaves. The others stand rarest first, and of their prefixes the members that another set
-    holds tie them; what a set has for itself, or in a passage common to many, comes before or after.
+    A set of n needs ceil(0.8 n) members that another holds too, else it has no partner and no prefix.
+    """
+    members, count = np.unique(np.concatenate(held)), np.concatenate(counts)
+    firsts = []
+    for s in held:
+        c = count[np.searchsorted(members, s)]
+        p = np.zeros(0, np.uint64)
+        if np.count_nonzero(c > 1) >= least(len(s)):
+            order = np.lexsort((s, c))[: len(s) - least(len(s)) + 1]
+            p = s[order[c[order] > 1]]
+        firsts.append(p)
+    return firsts
+
+
+def _with_counts(sets: DataFrame) -> DataFrame:
+    """Chunk by chunk the sets (key -1) and then, in the order of members, how many sets hold each member of the chunk.
+
+    Chunks, each in one piece, ask the owners of their members; a chunk sends each member once, and an owner holds one key at a time.
     """
     keys = 4 * partitions(sets.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for c, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(c, []).append(np.frombuffer(m, np.uint64))
-        for chunk in list(held):
-            members, many = np.unique(np.concatenate(held.pop(chunk)), return_counts=True)
+        for chunk, held in runs_of(batches, "chunk"):
+            members, many = np.unique(np.concatenate([np.frombuffer(r["members"], np.uint64) for r in held]), return_counts=True)
             cut = np.searchsorted(_by_owner(members, keys), np.arange(keys + 1))
             packed, many = _five(members), many.astype("<u4")
-            rows = [(k, chunk, None, packed[cut[k] : cut[k + 1]].tobytes(), many[cut[k] : cut[k + 1]].tobytes()) for k in range(keys) if cut[k] < cut[k + 1]]
-            yield _counted(rows)
+            yield _counted([(k, chunk, None, packed[cut[k] : cut[k + 1]].tobytes(), many[cut[k] : cut[k + 1]].tobytes()) for k in range(keys) if cut[k] < cut[k + 1]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                asked.setdefault(r["key"], []).append((r["chunk"], r["members"], r["counts"]))
-        for key in list(asked):
-            got = asked.pop(key)
-            _, where = np.unique(np.concatenate([_from_five(m) for _, m, _ in got]), return_inverse=True)
-            total = np.bincount(where, weights=np.concatenate([np.frombuffer(c, "<u4") for *_, c in got])).astype("<u4")[where]
-            cut = np.cumsum([0, *(len(c) // 4 for *_, c in got)])
-            yield _counted([(key, got[k][0], None, None, total[cut[k] : cut[k + 1]].tobytes()) for k in range(len(got))])
+        for key, rows in runs_of(batches, "key"):
+            _, where = np.unique(np.concatenate([_from_five(r["members"]) for r in rows]), return_inverse=True)
+            many = [np.frombuffer(r["counts"], "<u4") for r in rows]
+            total = np.bincount(where, weights=np.concatenate(many)).astype("<u4")[where]
+            cut = np.cumsum([0, *map(len, many)])
+            yield _counted([(key, r["chunk"], None, None, total[cut[k] : cut[k + 1]].tobytes()) for k, r in enumerate(rows)])
+
+    told = sets.select("chunk", "members").mapInArrow(ask, COUNTED).repartition(keys // 4, "key").sortWithinPartitions("key").mapInArrow(answer, COUNTED)
+    own = sets.select(F.lit(-1).cast("long").alias("key"), "chunk", "rep", "members", F.lit(None).cast("binary").alias("counts"))
+    return own.unionByName(told).repartition(keys // 4, "chunk").sortWithinPartitions("chunk", "key")
+
+
+def _chunk_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(chunk, its representatives, their prefixes) from `_with_counts`."""
+    for chunk, rows in runs_of(batches, "chunk"):
+        own = [r for r in rows if r["key"] < 0]
+        firsts = _prefixes([np.frombuffer(r["members"], np.uint64) for r in own], [np.frombuffer(r["counts"], "<u4") for r in rows if r["key"] >= 0])
+        yield chunk, np.array([r["rep"] for r in own], np.int64), firsts
+
+
+def cluster_edges(sets: DataFrame) -> DataFrame:
+    """Edges (src, dst) of a forest that ties sets whose prefixes share a member.
+
+    Sets stand rarest member first, by exact counts; what a set has for itself, or in a passage common to many, comes
+    before or after the members of its prefix that tie it.
+    """
+    keys = 4 * partitions(sets.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held, counts = None, [], [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not ids:
-                return
-            members = np.unique(np.concatenate(held))
-            count = np.concatenate(counts)
-            firsts = []
-            for s in held:
-                c = count[np.searchsorted(members, s)]
-                p = np.zeros(0, np.uint64)
-                if np.count_nonzero(c > 1) >= least(len(s)):
-                    order = np.lexsort((s, c))[: len(s) - least(len(s)) + 1]
-                    p = s[order[c[order] > 1]]
-                firsts.append(p)
+        for chunk, ids, firsts in _chunk_prefixes(batches):
             doc = np.repeat(np.arange(len(ids)), [len(f) for f in firsts])
-            first, id_ = np.concatenate(firsts), np.array(ids, np.int64)
+            first = np.concatenate(firsts)
             order = np.argsort(first, kind="stable")
             first, doc = first[order], doc[order]
             start, many = _runs(first)
             label = components(len(ids), np.repeat(doc[start], many), doc)
             tied = np.flatnonzero(label != np.arange(len(ids)))
-            rows = [(-1 - now, now, None, id_[tied].tobytes(), id_[label[tied]].tobytes())] if len(tied) else []
-            first, one = first[start], id_[doc[start]]
+            rows = [(-1 - chunk, chunk, None, ids[tied].tobytes(), ids[label[tied]].tobytes())] if len(tied) else []
+            first, one = first[start], ids[doc[start]]
             cut = np.searchsorted(_by_owner(first, keys), np.arange(keys + 1))
             packed = _five(first)
-            rows += [(k, now, None, packed[cut[k] : cut[k + 1]].tobytes(), one[cut[k] : cut[k + 1]].tobytes()) for k in range(keys) if cut[k] < cut[k + 1]]
+            rows += [(k, chunk, None, packed[cut[k] : cut[k + 1]].tobytes(), one[cut[k] : cut[k + 1]].tobytes()) for k in range(keys) if cut[k] < cut[k + 1]]
             if rows:
                 yield _counted(rows)
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["chunk"] != now:
-                    yield from flush()
-                    now, ids, held, counts = r["chunk"], [], [], []
-                if r["key"] < 0:
-                    ids.append(r["rep"])
-                    held.append(np.frombuffer(r["members"], np.uint64))
-                else:  # owners in the order of their keys: counts in the order of members
-                    counts.append(np.frombuffer(r["counts"], "<u4"))
-        yield from flush()
-
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list] = {}
-
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+        heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["key"] < 0:
-                    yield out(np.frombuffer(r["members"], np.int64), np.frombuffer(r["counts"], np.int64))
-                else:
-                    asked.setdefault(r["key"], []).append((r["members"], r["counts"]))
-        heads, tails = [], []
-        for key in list(asked):
-            got = asked.pop(key)
-            members = np.concatenate([_from_five(m) for m, _ in got])
-            doc = np.concatenate([np.frombuffer(d, np.int64) for _, d in got])
+        def forest() -> tuple[np.ndarray, np.ndarray]:
+            a, b = np.concatenate(heads), np.concatenate(tails)
+            nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            label = components(len(nodes), at[: len(a)], at[len(a) :])
+            tied = label != np.arange(len(nodes))
+            return nodes[tied], nodes[label[tied]]
+
+        for key, rows in runs_of(batches, "key"):
+            if key < 0:
+                for r in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], np.int64)) for c in ("members", "counts")], ["src", "dst"])
+                continue
+            members = np.concatenate([_from_five(r["members"]) for r in rows])
+            doc = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
             order = np.argsort(members, kind="stable")
             doc = doc[order]
             start, many = _runs(members[order])
             head = np.repeat(doc[start], many)
             heads.append(head[head != doc])
             tails.append(doc[head != doc])
-        if heads:
-            a, b = np.concatenate(heads), np.concatenate(tails)
-            nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-            label = components(len(nodes), at[: len(a)], at[len(a) :])
-            tied = label != np.arange(len(nodes))
-            yield out(nodes[tied], nodes[label[tied]])
+            if sum(map(len, heads)) >= CHUNK_MEMBERS:  # what is tied already is held as a forest
+                a, b = forest()
+                heads, tails = [a], [b]
+                if len(a) >= CHUNK_MEMBERS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+                    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest()], ["src", "dst"])
 
-    asked = sets.select("chunk", "members").mapInArrow(ask, COUNTED).repartition(keys // 4, "key")
-    told = asked.mapInArrow(answer, COUNTED)
-    own = sets.select(F.lit(-1).cast("long").alias("key"), "chunk", "rep", "members", F.lit(None).cast("binary").alias("counts"))
-    both = own.unionByName(told).repartition(keys // 4, "chunk").sortWithinPartitions("chunk", "key")
-    return both.mapInArrow(send, COUNTED).repartition(keys // 4, "key").mapInArrow(tie, "src long, dst long")
+    return _with_counts(sets).mapInArrow(send, COUNTED).repartition(keys // 4, "key").sortWithinPartitions("key").mapInArrow(tie, "src long, dst long")
+
+
+def prefix_members(sets: DataFrame) -> DataFrame:
+    """(rep, member) of each member of a prefix that another of these sets holds: two linked sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, firsts in _chunk_prefixes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f) for f in firsts])), pa.array(np.concatenate(firsts).astype(np.uint64).view(np.int64))], ["rep", "member"])
+
+    return _with_counts(sets).mapInArrow(run, "rep long, member long")
 
 
 def _link_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -383,20 +384,28 @@ def join_clusters(sets: DataFrame, clusters: DataFrame, block: int = BLOCK) -> D
     split = place.where("blocks > 1")
     picks = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep")).alias(f"p{j}") for j in range(LEADERS)]
     leaders = split.groupBy("component").agg(*picks).select(F.explode(F.array_distinct(F.array(*(F.col(f"p{j}.rep") for j in range(LEADERS))))).alias("rep"))
-    big = sets.select("rep", "members").join(split, "rep")
+    big = sets.select("chunk", "rep", "members").join(split, "rep")
     shared = big.join(leaders, "rep").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = checkpointed(_link_groups(own.select(columns).unionByName(shared.select(columns)), ["component", "block"]))
     found = connected_components(first)
-    inside = split.select("component", "rep").join(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    parts = inside.groupBy("component", "part").agg(F.count("*").alias("many"))
-    largest = parts.groupBy("component").agg(F.max(F.struct("many", "part")).alias("top")).select("component", F.col("top.part").alias("part"))
-    outside = checkpointed(inside.join(largest, ["component", "part"], "left_anti").select("rep", "component"))
-    number = outside.groupBy("component").agg(F.ceil(F.count("*") / block).alias("turns"))
-    probes = big.join(outside.select("rep"), "rep").join(number, "component").withColumn("turn", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("turns")))
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("must", F.lit(True))
-    against = big.join(number, "component").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    columns = ["component", "block", "turn", "rep", "members", "must"]
-    second = _link_groups(probes.select(columns).unionByName(against.select(columns)), ["component", "block", "turn"])
+    # what is linked now need not meet again: sets meet by the members of their prefixes, and only where such a group has several parts
+    parts = split.select("rep").join(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    chunks = checkpointed(big.select("chunk", "rep", "members").repartition("chunk").sortWithinPartitions("chunk"))
+    sharing = checkpointed(prefix_members(chunks).join(parts, "rep"))
+    groups = sharing.groupBy("member").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("member", "size")
+    groups = checkpointed(groups)
+    several = sharing.join(groups, "member").withColumns({"blocks": F.ceil(F.col("size") / block), "block": F.lit(0).cast("long"), "turn": F.lit(0).cast("long"), "must": F.lit(False)})
+    columns = ["member", "block", "turn", "rep", "must"]
+    meet = several.where("blocks = 1").select(columns)
+    large = checkpointed(several.where("blocks > 1").select("member", "rep", "part", "blocks"))
+    if large.limit(1).count():  # sets outside of the group's largest part are probed against all of it, in blocks
+        most = large.groupBy("member", "part").agg(F.count("*").alias("many")).groupBy("member").agg(F.max(F.struct("many", "part")).alias("top"), F.sum("many").alias("size"))
+        most = checkpointed(most.select("member", F.col("top.part").alias("main"), F.ceil((F.col("size") - F.col("top.many")) / block).alias("turns")))
+        dealt = large.join(most, "member").withColumns({"own": F.pmod(F.xxhash64("rep"), F.col("blocks")), "mine": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("turns"))})
+        probes = dealt.where("part <> main").select("member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("mine").alias("turn"), "rep", F.lit(True).alias("must"))
+        against = dealt.select("member", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "rep", F.lit(False).alias("must"))
+        meet = meet.unionByName(probes.select(columns)).unionByName(against.select(columns))
+    second = _link_groups(meet.join(sets.select("rep", "members"), "rep"), ["member", "block", "turn"])
     return connected_components(first.unionByName(second))
 
 
