@@ -1,18 +1,22 @@
 """The corpus pipeline: quality rules, quality classifier, line dedup, n-gram Jaccard join, best-fit packing.
 
 Each stage works on all that the one before it kept. `STAGES` are run and written one after the other; `run` does so with
-Parquet in the folder that all executors share.
+Parquet in the folder that all executors share, and deletes each table once the next stage has read it.
+
+Rows with a null id or text, repeated rows, empty and very long texts pass through as each stage defines: texts null, empty
+or without words go at the first stage; the classifier judges rows apart; line dedup and the join leave rows with a null id
+as they are; packing cuts long texts. Extra columns of documents stay up to the last stage. Empty tables give an empty
+result, and without labels every text with words passes the classifier.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import kneser_ney, line_dedup, ngram_join, packing, quality_rules
-from tideline.sources.checkpoint import release
+from tideline.sources.checkpoint import delete_folder, release, shared_folder
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written as Parquet and reread by the next stage."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tideline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -57,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
             release(spark)
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}")
     return docs
