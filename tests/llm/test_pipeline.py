@@ -22,7 +22,7 @@ def test_stages_and_run(spark, tmp_path):
         if k < 4:
             assert docs.columns == want
     rows = [{r.doc_id: r.text for r in d.collect()} for d in seen[:4]]
-    assert rows[0].keys() > rows[1].keys() >= rows[2].keys() >= rows[3].keys()
+    assert rows[0].keys() > rows[1].keys() >= rows[2].keys() >= rows[3].keys() > set()
     assert all(len(re.findall(r"\S+", t)) for t in rows[0].values())
     lines = brute_lines(list(rows[1].items()))
     assert rows[2] == {i: t for i, (n, g, t) in lines.items() if g == 0 or g < n}
@@ -30,3 +30,22 @@ def test_stages_and_run(spark, tmp_path):
     assert {r.doc_id for r in seen[4].collect()} == set(rows[3])
     got = sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in seen[4].collect())
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "\n".join(f"This is sentence number {k} of a text about nothing at all, with words in it." for k in range(12))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (None, text, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (4, text + " More.", None, "s", 1), (5, "\n".join(f"Line {k} of a very long text stands here and is no copy of any other." for k in range(20_000)), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS kept", "'y' AS hash")
+    labels = spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, d, m in (("odd", docs, labels), ("bare", docs, labels.limit(0)), ("none", docs.limit(0), labels)):
+        folder = f"{tmp_path}/{name}"
+        d.write.parquet(f"{folder}/documents.parquet")
+        m.write.parquet(f"{folder}/labels.parquet")
+        now = d
+        for stage_name, stage in corpus_pipeline.STAGES[:4]:
+            now = stage(spark, now, folder)
+            assert now.columns == docs.columns, stage_name
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert not got if name == "none" else {r.doc_id for r in got} <= {None, 1, 4, 5} and any(r.length == 1024 for r in got)
