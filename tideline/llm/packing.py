@@ -1,4 +1,11 @@
-"""Best-fit packing of token sequences in supersteps over the sorted runs of documents and gaps."""
+"""Best-fit packing of token sequences in supersteps: documents and gaps are sorted by size, a sweep gives each document its
+successor, the smallest free gap that holds it, ranks resolve who comes first, gaps shrink, and the next superstep begins.
+
+The sweep goes from the largest size down. Gaps that it passes pile up, and each document takes the gap on top, which is the
+smallest that holds it and is not taken by a longer document, or by one of like length and smaller rank. How high the pile
+is before each size follows from the counts of gaps and documents by size, so each row knows its level from its rank alone,
+and a document and its gap are neighbours on one level: nothing is swept in one task.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +18,6 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import checkpointed, partitions, small_batches, table
@@ -135,64 +141,75 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
     return slim.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset): documents of a length, by rank, go one each to consecutive sequences.
+def matched(docs: DataFrame, gaps: DataFrame, longest: int, shortest: int) -> DataFrame:
+    """(__k, length, seq, slot, free) of each document (__k, length): the gap (seq, free) that a sweep gives it, or nulls.
 
-    Documents stand sorted by length, longest first, and gaps by size; equal ones form a run. A superstep takes the run of
-    the next length and sweeps over the runs of gaps from its successor, the smallest gap that holds it, upwards. Rank
-    decides which document gets which gap, so no two claim the same one; the gaps shrink, and the next superstep sees them.
-    Only runs are touched: their number depends on `capacity`, not on how many documents there are.
+    A gap that holds several documents of the longest length has a slot for each, all but one of that size, so that one
+    superstep fills it. Ranks within a size are numbered in salted groups, so a size that a third of all rows share is split;
+    a level has two rows for each size at most.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by size: (first sequence, how many)
-    out, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank, size = counts[length], 0, length
-        while left:
-            while size <= capacity and not gaps[size]:
-                size += 1
-            if size > capacity:
-                size = capacity
-                n = -(-left // (capacity // length))
-                gaps[size].append((opened, n))
-                opened += n
-            fits = size // length
-            first, n = gaps[size].pop()
-            used = min(n, -(-left // fits))
-            if used < n:
-                gaps[size].append((first + used, n - used))
-            filled = size
-            while left and filled >= length:  # each of these sequences takes one more document
-                m = min(used, left)
-                out.append((length, rank, rank + m, first, capacity - filled))
-                if m < used:
-                    gaps[filled].append((first + m, used - m))
-                used, rank, left, filled = m, rank + m, left - m, filled - length
-            gaps[filled].append((first, used))
-            size = length
-    return out
-
-
-STEPS = T.StructType([T.StructField("length", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("rank_from", "rank_to", "sequence_from", "offset"))])
+    salts = F.lit(max(8, partitions(docs.sparkSession)))
+    several = F.greatest(F.floor(F.col("free") / longest), F.lit(1))
+    slots = gaps.where(F.col("free") >= shortest).select("seq", "free", F.posexplode(F.sequence(F.lit(1).cast("long"), several)).alias("slot", "of"))
+    slots = slots.select(F.when(F.col("slot") == 0, F.col("free") - (several - 1) * longest).otherwise(longest).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot", "free")
+    rows = slots.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("__k").alias("id"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("free")))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "slot"), salts))
+    before = lambda w: w.rowsBetween(W.Window.unboundedPreceding, -1)
+    groups = rows.groupBy("size", "kind", "salt").agg(F.count("*").alias("n"))
+    base = groups.withColumn("base", F.coalesce(F.sum("n").over(before(W.Window.partitionBy("size", "kind").orderBy("salt"))), F.lit(0).cast("long")))
+    sizes = groups.groupBy("size").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("open"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("asked"))
+    down = W.Window.orderBy(F.desc("size"))  # over as many rows as there are sizes, which the capacity bounds
+    up_to = down.rowsBetween(W.Window.unboundedPreceding, 0)
+    piled = sizes.withColumn("sum", F.sum(F.col("open") - F.col("asked")).over(up_to))
+    piled = piled.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(up_to)))
+    piled = piled.select("size", (F.coalesce(F.lag("after").over(down), F.lit(0)) + F.col("open")).alias("top"), F.coalesce(F.lag("after").over(down), F.lit(0)).alias("under"))
+    own = F.row_number().over(W.Window.partitionBy("size", "kind", "salt").orderBy("id", "slot"))
+    rows = rows.withColumn("own", own).join(base.drop("n"), ["size", "kind", "salt"]).join(F.broadcast(piled), "size")  # as many rows as sizes
+    rank = F.col("base") + F.col("own") - 1
+    rows = rows.withColumn("level", F.when(F.col("kind") == 0, F.col("under") + 1 + rank).otherwise(F.col("top") - rank))
+    on = W.Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    found = rows.where("level >= 1").select("kind", "id", "size", *(F.lag(c).over(on).alias(f"__{c}") for c in ("id", "slot", "free"))).where("kind = 1")
+    none = rows.where("level < 1").select("id", "size", F.lit(None).cast("long").alias("__id"), F.lit(None).cast("int").alias("__slot"), F.lit(None).cast("long").alias("__free"))
+    return found.drop("kind").unionByName(none).select(F.col("id").alias("__k"), F.col("size").alias("length"), F.col("__id").alias("seq"), F.col("__slot").alias("slot"), F.col("__free").alias("free"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces of (doc_id, piece, length, ...).
 
-    The only figures that reach the driver are the counts by length (`capacity` rows at most); which document has which
-    rank among those of its length is numbered in salted groups, so a length that a third of all pieces share is split.
+    Full pieces are sequences. A superstep opens sequences for documents that no gap will ever hold, the first one as many
+    as all tokens need; then documents meet gaps, and gaps shrink by what they took. Only sums over documents and gaps reach
+    the driver. Supersteps are few (5 to 10 as measured): in each, every gap is filled as far as the longest document left goes.
     """
     spark = pieces.sparkSession
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    steps = spark.createDataFrame(supersteps(counts, capacity), STEPS)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(8, partitions(spark))))
-    salted = pieces.withColumn("__salt", salt)
-    before = W.Window.partitionBy("length").orderBy("__salt").rowsBetween(W.Window.unboundedPreceding, -1)
-    base = salted.groupBy("length", "__salt").count().select("length", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    own = F.row_number().over(W.Window.partitionBy("length", "__salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("__own", own).join(base, ["length", "__salt"]).withColumn("__rank", F.col("__base") + F.col("__own") - 1)
-    s = F.broadcast(steps).alias("s")  # as many rows as there are runs, whose number `capacity` bounds
-    hit = (ranked["length"] == F.col("s.length")) & (F.col("__rank") >= F.col("s.rank_from")) & (F.col("__rank") < F.col("s.rank_to"))
-    return ranked.join(s, hit).select(*(ranked[c] for c in pieces.columns), (F.col("s.sequence_from") + F.col("__rank") - F.col("s.rank_from")).alias("sequence_id"), F.col("s.offset").alias("offset"))
+    keyed = checkpointed(pieces.withColumn("__k", F.monotonically_increasing_id()))
+    docs = keyed.where(F.col("length") < capacity).select("__k", F.col("length").cast("long").alias("length"))
+    gaps = spark.createDataFrame([], "seq long, free long")
+    placed = [keyed.where(F.col("length") >= capacity).select("__k", (-1 - F.col("__k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    opened, widest, any_placed = 0, 0, True
+    while True:
+        out = F.col("length") > widest  # no gap will hold these
+        large = F.count_if(out & (F.col("length") > capacity // 2))
+        left = docs.agg(F.max("length").alias("longest"), F.min("length").alias("shortest"), F.sum(F.when(out, F.col("length"))).alias("tokens"), large.alias("large")).first()
+        if left["longest"] is None:
+            break
+        more = max(left["large"], -(-(left["tokens"] or 0) // capacity), 0 if any_placed else 1)
+        new = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("free"))
+        opened += more
+        gaps = gaps.unionByName(new)
+        found = checkpointed(matched(docs, gaps, left["longest"], left["shortest"]))
+        took = found.where("seq IS NOT NULL")
+        w = W.Window.partitionBy("seq").orderBy("slot").rowsBetween(W.Window.unboundedPreceding, 0)
+        placed.append(took.select("__k", F.col("seq").alias("sequence_id"), (capacity - F.col("free") + F.sum("length").over(w) - F.col("length")).alias("offset")))
+        taken = took.groupBy("seq").agg(F.sum("length").alias("taken"))
+        gaps = gaps.join(taken, "seq", "left").select("seq", (F.col("free") - F.coalesce("taken", F.lit(0))).alias("free")).where("free > 0")
+        gaps = checkpointed(gaps)
+        docs = found.where("seq IS NULL").select("__k", "length")
+        widest = gaps.agg(F.max("free")).first()[0] or 0
+        any_placed = bool(took.limit(1).count())
+    where = placed[0]
+    for part in placed[1:]:
+        where = where.unionByName(part)
+    return keyed.join(where, "__k").select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -201,7 +218,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
     Null texts count as empty: one piece with only the end id. Equal or null ids are packed apart. Long texts are cut,
     never shortened. An empty table gives an empty result; other columns are not read.
     """
-    return pack(checkpointed(token_pieces(docs, tokenizer_file, capacity, end_id)), capacity)
+    return pack(token_pieces(docs, tokenizer_file, capacity, end_id), capacity)
 
 
 def tokenizer_file() -> str:
