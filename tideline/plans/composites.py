@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month
 from ..operators import aggregates, contracts, dedup, joins, metrics, reshape
 from ..operators import windows as w
-from .catalog import query
+from . import domain
+from .catalog import query, table
 from .substrate import labelled, news, panel, predictions, sessions
 
 
@@ -130,3 +132,48 @@ def _compare_approaches(spark, sf):
 @query("clean_news", "event_id i, ticker s, title s", "SELECT event_id, ticker, title FROM (SELECT *, row_number() OVER (PARTITION BY ticker, title, date ORDER BY ts, event_id) AS k FROM news WHERE ticker IN ('1-URGENT', '2-HIGH') AND ts IS NOT NULL AND trim(title) <> '') WHERE k = 1", "news")
 def _clean_news(spark, sf):
     return clean_news(news(spark, sf), ["1-URGENT", "2-HIGH"], ["ticker", "title", "date"], ["ts", "event_id"])
+
+
+def _domain_news(spark, sf):
+    """(ticker, published_at, url, title, summary, text) of the domain, made of events."""
+    e = table(spark, sf, "events")
+    names = F.element_at(F.array(*(F.lit(x) for x in ("Apple", "Microsoft", "Nvidia", "TSLA"))), (F.col("user_id") % 4 + 1).cast("int"))
+    title = F.when(F.col("event_type") == "purchase", F.concat(names, F.lit(" Stock Price History"))).when(F.col("event_type") == "error", F.lit("ETF fund holdings of the week")).otherwise(F.concat(F.lit("News of "), names))
+    summary = F.when(F.col("user_id") % 3 == 0, F.lit("Markets were calm. Nobody said why.")).otherwise(F.concat(F.lit("It rose. "), names, F.lit(" did so too.")))
+    url = F.concat(F.lit("https://Example.com/"), F.when(F.col("user_id") % 5 == 0, "quote/").otherwise("News/"), F.col("event_id").cast("string"))
+    ticker = F.element_at(F.array(*map(F.lit, domain.TICKERS)), (F.col("user_id") % 4 + 1).cast("int"))
+    return e.select("event_id", ticker.alias("ticker"), F.col("ts").cast("timestamp").alias("published_at"), url.alias("url"), title.alias("title"), summary.alias("summary"), F.when(F.col("user_id") % 11 == 0, " ").otherwise(summary).alias("text"))
+
+
+_NAME = "CASE user_id % 4 WHEN 0 THEN 'Apple' WHEN 1 THEN 'Microsoft' WHEN 2 THEN 'Nvidia' ELSE 'TSLA' END"
+_DOMAIN_SQL = f"""SELECT *, CASE WHEN user_id % 11 = 0 THEN ' ' ELSE summary END AS text FROM (SELECT event_id, user_id, ts, CASE user_id % 4 WHEN 0 THEN 'AAPL' WHEN 1 THEN 'MSFT' WHEN 2 THEN 'NVDA' ELSE 'TSLA' END AS ticker,
+  'https://Example.com/' || CASE WHEN user_id % 5 = 0 THEN 'quote/' ELSE 'News/' END || event_id AS url,
+  CASE event_type WHEN 'purchase' THEN {_NAME} || ' Stock Price History' WHEN 'error' THEN 'ETF fund holdings of the week' ELSE 'News of ' || {_NAME} END AS title,
+  CASE WHEN user_id % 3 = 0 THEN 'Markets were calm. Nobody said why.' ELSE 'It rose. ' || {_NAME} || ' did so too.' END AS summary FROM events)"""
+
+
+@query(
+    "domain_eligible",
+    "event_id i, news_id s, explicit_company b, dynamic_page b, post_checkpoint b, eligible b",
+    f"""SELECT *, explicit_company AND NOT dynamic_page AND post_checkpoint AND trim(text) <> '' AS eligible FROM (SELECT event_id, text,
+    sha256(concat_ws(chr(31), ticker, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN '.' || strftime(ts, '%f') ELSE '' END || '+00:00', url, title, text)) AS news_id,
+    regexp_matches(title || ' ' || summary, '(?i)\\b(?:' || CASE ticker WHEN 'AAPL' THEN 'Apple|AAPL' WHEN 'MSFT' THEN 'Microsoft|MSFT' WHEN 'NVDA' THEN 'NVIDIA|NVDA' ELSE 'Tesla|TSLA' END || ')\\b') AS explicit_company,
+    regexp_matches(title, '{domain.DYNAMIC_TITLES}') OR user_id % 5 = 0 AS dynamic_page, ts >= TIMESTAMP '2024-01-15' AS post_checkpoint FROM ({_DOMAIN_SQL}))""",
+)
+def _domain_eligible(spark, sf):
+    """Identity and the four conditions of eligibility of the domain's news."""
+    return domain.eligible_news(_domain_news(spark, sf), date(2024, 1, 15))
+
+
+@query(
+    "domain_prepared",
+    "event_id i, part s, multi_company b, cross_boundary b, group_size i, function_words i",
+    f"""SELECT event_id, part, max(ticker) OVER g <> min(ticker) OVER g AS multi_company, max(part) OVER g <> min(part) OVER g AS cross_boundary, count(*) OVER g AS group_size, len(regexp_extract_all(text, '(?i)\\b(?:the|and|of|to|in|for|with|is|on|its)\\b')) AS function_words
+    FROM (SELECT event_id, ticker, text, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'development' ELSE 'evaluation' END AS part FROM ({_DOMAIN_SQL}) WHERE user_id % 3 = 0 AND user_id % 11 <> 0)
+    WINDOW g AS (PARTITION BY 1)""",
+)
+def _domain_prepared(spark, sf):
+    """News that all share one text are one group, over entities and over the cutoff."""
+    n = _domain_news(spark, sf).where(F.col("text") == "Markets were calm. Nobody said why.")
+    out = domain.prepare_news(n, date(2024, 1, 15))
+    return out.withColumn("group_size", F.count("*").over(Window.partitionBy("group_id"))).withColumnsRenamed({"partition": "part", "english_function_words": "function_words"})
