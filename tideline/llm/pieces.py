@@ -24,13 +24,13 @@ MARK = "\u2581"
 #: A run of marks with what follows it up to the next mark.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters at which a unit is written, to bound a task's memory and its table of chunks.
-UNIT_CHARS = 4_000_000
+UNIT_CHARS = 8_000_000
 
 
 def _pack(text: str) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=6).compress(text.encode("utf-8", "surrogatepass"))
+    return zstandard.ZstdCompressor(level=9).compress(text.encode("utf-8", "surrogatepass"))
 
 
 def _unpack(data: bytes) -> str:
@@ -146,16 +146,17 @@ def piece_ids(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col
                 new = [k for k in keys if k not in known]
                 known.update(zip(new, s.segment(new)))
                 odd = [(i, known[k][1]) for i, k in enumerate(keys) if known[k][1] != k]
-                found.append((asker, data, _pack("\n".join(known[k][0] for k in keys)), [i for i, _ in odd], [t for _, t in odd]))
+                found.append((asker, owner, _pack("\n".join(known[k][0] for k in keys)), [i for i, _ in odd], [t for _, t in odd]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())))], ["unit", "chunks", "ids", "at", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string())))], ["unit", "owner", "ids", "at", "odd"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
             ids: dict[str, str] = {}
             text: dict[str, str] = {}
+            asked = _owned(set(chain.from_iterable(split(r))), owners)  # as they were sent
             for x in r["answers"] or ():
-                keys = _unpack(x["chunks"]).split(MARK)
+                keys = asked[x["owner"]]
                 ids.update(zip(keys, _unpack(x["ids"]).split("\n")))
                 text.update(zip(keys, keys))
                 text.update(zip(map(keys.__getitem__, x["at"]), x["odd"]))
@@ -171,8 +172,8 @@ def piece_ids(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col
 
     try:
         asked = units.select("unit", "sizes", "text").mapInArrow(ask, "owner int, unit long, chunks binary")
-        answers = asked.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(answer, "unit long, chunks binary, ids binary, at array<int>, odd array<string>")
-        answers = answers.groupBy("unit").agg(F.collect_list(F.struct("chunks", "ids", "at", "odd")).alias("answers"))
+        answers = asked.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(answer, "unit long, owner int, ids binary, at array<int>, odd array<string>")
+        answers = answers.groupBy("unit").agg(F.collect_list(F.struct("owner", "ids", "at", "odd")).alias("answers"))
         out = units.join(answers, "unit", "left").mapInArrow(join, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * arrays)
         return checkpointed(out)
     finally:
