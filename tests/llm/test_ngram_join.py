@@ -59,10 +59,12 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block, outside", [(2000, 4096), (7, 4096), (7, 0)])
+def test_against_all_pairs(spark, monkeypatch, block, outside):
+    from tideline.llm import ngram_join as module
     from tideline.llm.ngram_join import ngram_join
 
+    monkeypatch.setattr(module, "MOST_OUTSIDE", outside)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string").repartition(5)
     got = sorted(map(tuple, ngram_join(df, block=block).collect()))
@@ -80,6 +82,8 @@ def test_documents_and_odd_rows(spark):
     odd = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "a b c d e f"), (9, "other words stand in this row"), (None, None)], "doc_id long, text string")
     assert sorted(map(str, ngram_join(odd).collect())) == sorted(f"Row(doc_id={i}, n_shingles={n}, component_id={c})" for i, n, c in [(None, 2, None), (None, 0, None), (7, 2, 7), (7, 2, 7), (9, 2, 7), (9, 2, 9)])
     assert ngram_join(odd.limit(0)).count() == 0
+    assert sorted(map(str, (r.doc_id for r in one_of_each(odd).collect()))) == ["7", "7", "9", "9", "None", "None"]
+    assert sorted(r.doc_id for r in one_of_each(odd.where("text <> 'other words stand in this row'")).where("doc_id IS NOT NULL").collect()) == [7, 7]
 
 
 def test_tree_finds_all_links():

@@ -6,8 +6,9 @@
 2. What stays is ordered anew, rare members first, and tied together by members of prefixes: two linked sets share a
    member of their prefixes, so they lie in one cluster.
 3. Each cluster is joined by a trie. Clusters of more than `block` sets are cut into blocks that share leaders, which links
-   what is alike already; then sets meet again by the members of their prefixes, but only where the sets of a member are
-   not all linked yet, and only with the members' own sets. No pair list is made anywhere.
+   what is alike already; then the sets outside of the largest linked part are probed against every block. Where these are
+   many, sets meet by the members of their prefixes instead, and only where a member's sets are not all linked yet. Both
+   find every link. No pair list is made anywhere.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ CHUNK_MEMBERS, CHUNK_DOCS = 2_000_000, 60_000
 #: Sets in one trie.
 BLOCK = 512
 LEADERS = 4
+#: Up to so many sets outside of the largest part of a cluster are probed against all its blocks: at most 16 copies of a set.
+MOST_OUTSIDE = 4_096
 NOBODY = 0xFFFF
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -388,27 +391,40 @@ def join_clusters(sets: DataFrame, clusters: DataFrame, block: int = BLOCK) -> D
     shared = big.join(leaders, "rep").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = checkpointed(_link_groups(own.select(columns).unionByName(shared.select(columns)), ["component", "block"]))
     found = connected_components(first)
-    # what is linked now need not meet again: sets meet by the members of their prefixes, and only where such a group has several parts
-    parts = split.select("rep").join(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    chunks = checkpointed(big.select("chunk", "rep", "members").repartition("chunk").sortWithinPartitions("chunk"))
-    sharing = checkpointed(prefix_members(chunks).join(parts, "rep"))
-    groups = sharing.groupBy("member").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("member", "size")
-    groups = checkpointed(groups)
-    several = sharing.join(groups, "member").withColumns({"blocks": F.ceil(F.col("size") / block), "block": F.lit(0).cast("long"), "turn": F.lit(0).cast("long"), "must": F.lit(False)})
-    columns = ["member", "block", "turn", "rep", "must"]
-    meet = several.where("blocks = 1").select(columns)
-    large = checkpointed(several.where("blocks > 1").select("member", "rep", "part", "blocks"))
-    if large.limit(1).count():  # sets outside of the group's largest part are probed against all of it, in blocks
-        most = large.groupBy("member", "part").agg(F.count("*").alias("many")).groupBy("member").agg(F.max(F.struct("many", "part")).alias("top"), F.sum("many").alias("size"))
-        most = checkpointed(most.select("member", F.col("top.part").alias("main"), F.ceil((F.col("size") - F.col("top.many")) / block).alias("turns")))
-        dealt = large.join(most, "member").withColumns({"own": F.pmod(F.xxhash64("rep"), F.col("blocks")), "mine": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("turns"))})
-        probes = dealt.where("part <> main").select("member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("mine").alias("turn"), "rep", F.lit(True).alias("must"))
-        against = dealt.select("member", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "rep", F.lit(False).alias("must"))
-        meet = meet.unionByName(probes.select(columns)).unionByName(against.select(columns))
-    second = _link_groups(meet.join(sets.select("rep", "members"), "rep"), ["member", "block", "turn"])
+    # what is linked now need not meet again: only sets outside of a group's largest part are probed
+    parts = split.select("component", "rep").join(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    parts = checkpointed(parts)
+    mains = _main_parts(parts, "component")
+    meet = _meetings(parts, mains.where(F.col("outside") <= MOST_OUTSIDE), "component", block)
+    lots = mains.where(F.col("outside") > MOST_OUTSIDE)
+    if lots.limit(1).count():  # many parts that a chain of common members ties: they meet by the members of their prefixes
+        loose = parts.join(lots.select("component"), "component", "left_semi").select("rep", "part")
+        chunks = big.select("chunk", "rep", "members").join(loose.select("rep"), "rep", "left_semi").repartition("chunk").sortWithinPartitions("chunk")
+        sharing = checkpointed(prefix_members(checkpointed(chunks)).join(loose, "rep"))
+        meet = meet.unionByName(_meetings(sharing, _main_parts(sharing, "member"), "member", block))
+    second = _link_groups(meet.join(sets.select("rep", "members"), "rep"), ["kind", "group", "block", "turn"])
     return connected_components(first.unionByName(second))
 
 
+def _main_parts(rows: DataFrame, group: str) -> DataFrame:
+    """(group, main, size, outside) of each group of (group, rep, part) with several parts: its largest one, its sets, and those of them in other parts."""
+    many = rows.groupBy(group, "part").agg(F.count("*").alias("many"))
+    top = many.groupBy(group).agg(F.max(F.struct("many", "part")).alias("top"), F.sum("many").alias("size"))
+    return checkpointed(top.select(group, F.col("top.part").alias("main"), "size", (F.col("size") - F.col("top.many")).alias("outside")).where("outside > 0"))
+
+
+def _meetings(rows: DataFrame, mains: DataFrame, group: str, block: int) -> DataFrame:
+    """(kind, group, block, turn, rep, must): in which tries the sets of a group meet, so that each outside of its largest part meets all."""
+    zero = F.lit(0).cast("long")
+    dealt = rows.join(mains, group).withColumns({"kind": F.lit(group), "group": F.col(group), "must": F.col("part") != F.col("main"), "blocks": F.ceil(F.col("size") / block), "turns": F.ceil(F.col("outside") / block)})
+    dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("rep"), F.col("blocks")), "mine": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("turns"))})
+    whole = dealt.where("blocks = 1").select("kind", "group", zero.alias("block"), zero.alias("turn"), "rep", "must")
+    cut = dealt.where("blocks > 1")
+    probes = cut.where("must").select("kind", "group", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.col("mine").alias("turn"), "rep", "must")
+    against = cut.select("kind", "group", F.col("own").alias("block"), F.explode(F.sequence(zero, F.col("turns") - 1)).alias("turn"), "rep", F.lit(False).alias("must"))
+    return whole.unionByName(probes).unionByName(against)
+
+
 def ngram_join(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`.
 
@@ -429,8 +445,10 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The document with the smallest id of each group; columns as in `docs`. Rows with a null id stay."""
-    leave = ngram_join(docs.select("doc_id", "text"), width).where("doc_id <> component_id").select("doc_id").distinct()
+    """The document with the smallest id of each group; columns as in `docs`. Rows with a null id stay, and so do all rows
+    of an id with several texts if one of these is not in the group of a smaller id."""
+    found = ngram_join(docs.select("doc_id", "text"), width).where("doc_id IS NOT NULL")
+    leave = found.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("leaves")).where("leaves").select("doc_id")
     return docs.join(leave, "doc_id", "left_anti").select(docs.columns)
 
 
