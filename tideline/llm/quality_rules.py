@@ -150,7 +150,11 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
 
 
 def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that pass, with their failing lines removed and n_chars set anew; columns as in `docs`."""
+    """The documents that pass, with their failing lines removed and n_chars set anew; columns as in `docs`.
+
+    Each row is judged by its own text, read whole: repeated rows and equal or null ids share a verdict only if their texts
+    are equal. Null and empty texts have under 50 words, so they go. An empty table gives an empty result; other columns stay.
+    """
     small_batches(docs.sparkSession)
     names, kinds = docs.columns, docs.schema
 
