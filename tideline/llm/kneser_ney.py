@@ -56,10 +56,11 @@ class Keys:
     def __init__(self, text: str, order: int) -> None:
         self.order = order
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        self.alphabet = np.concatenate(([0], np.flatnonzero(np.bincount(self.codes, minlength=1)))).astype("<u4")
-        pad = np.searchsorted(self.alphabet, ord(PAD))
-        if pad < len(self.alphabet) and self.alphabet[pad] == ord(PAD):
-            self.alphabet = np.delete(self.alphabet, pad)
+        there = np.zeros(0x110000, bool)
+        for a in range(0, len(self.codes), CHUNK_CHARS):
+            there[self.codes[a : a + CHUNK_CHARS]] = True
+        there[0], there[ord(PAD)] = True, False
+        self.alphabet = np.flatnonzero(there).astype("<u4")
         self.base = len(self.alphabet)
         self.number = np.zeros(int(self.alphabet[-1]) + 1, np.int64)
         self.number[self.alphabet] = np.arange(self.base)
