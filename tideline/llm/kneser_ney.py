@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -417,12 +418,18 @@ def _classified(docs: DataFrame, labels: DataFrame, params: ModelParams) -> Data
     def threshold(by: list[str]) -> DataFrame:
         w = W.Window.partitionBy(*by)
         low = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumn("below", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-        return low.where(F.col("below") >= F.col("all") * params.quantile).groupBy(*by).agg(((F.min("bin") + 1) * F.lit(STEP)).alias("threshold"))
+        reached = F.min(F.when(F.col("below") >= F.col("all") * params.quantile, F.col("bin") + 1))
+        mean = F.sum(F.col("n") * F.col("bin")) / F.max("all")
+        spread = F.sqrt(F.greatest(F.sum(F.col("n") * F.col("bin") * F.col("bin")) / F.max("all") - mean * mean, F.lit(0.0)))
+        # too few documents to have so rare a one among them: the quantile of a normal distribution like theirs, if it is larger
+        tail = F.when(F.max("all") * (1 - params.quantile) < 1, mean + 1 + NormalDist().inv_cdf(params.quantile) * spread)
+        return low.groupBy(*by).agg((F.greatest(reached.cast("double"), tail) * F.lit(STEP)).alias("threshold"), tail.isNotNull().alias("few"))
 
     whole = threshold([]).first()
-    own = threshold(["lang"]).withColumnRenamed("lang", "__lang")
+    whole = whole["threshold"] if whole else None
+    own = threshold(["lang"]).select(F.col("lang").alias("__lang"), F.when(F.col("few"), F.greatest("threshold", F.lit(whole).cast("double"))).otherwise(F.col("threshold")).alias("threshold"))
     out = scores.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
-    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(whole["threshold"] if whole else None).cast("double")))
+    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(whole).cast("double")))
     return out.withColumn("kept", F.coalesce(F.col("log_ppl").isNotNull() & (F.col("log_ppl") <= F.coalesce("threshold", F.lit(float("inf")))), F.lit(False)))
 
 
@@ -432,7 +439,8 @@ def classify(docs: DataFrame, labels: DataFrame, params: ModelParams = ModelPara
     Of the trusted documents, one in `held_out` by a hash of its id sets its language's threshold, and the others are counted.
     Texts null, empty or without words have no perplexity and are not kept. A null language is a language of its own. A
     language without held-out documents takes the threshold over all of them; where there are none at all, every text with
-    words is kept. Rows with a null id are scored but never trusted; repeated rows are scored apart. Long texts are read
+    words is kept. A language with fewer of them than its quantile needs (200 for 0.995) has the quantile of a normal
+    distribution like theirs, and no less than the threshold over all languages. Rows with a null id are scored but never trusted; repeated rows are scored apart. Long texts are read
     whole; an empty table gives an empty result; other columns are not read. Logarithms of n-grams travel in single precision.
     """
     return _classified(docs, labels, params).select("doc_id", "lang", "n_words", "log_ppl", "threshold", "kept")
