@@ -97,3 +97,36 @@ def test_supersteps_against_a_pile_of_gaps(spark, kind):
         assert at <= cap
     assert len(by) <= 1.02 * best_fit_decreasing(lengths, cap) + 1
     assert abs(len(by) - swept(lengths, cap)) <= 0.01 * len(by) + 1  # which of like gaps is taken may differ
+
+
+def test_few_rows_take_few_tasks(spark):
+    """However many shuffle partitions there are, supersteps over few rows run as one task, and pack as the others do."""
+    from tideline.llm.packing import pack
+
+    rng = random.Random(3)
+    cap = 100
+    lengths = [rng.randint(1, cap) for _ in range(500)] + [37] * 100
+    df = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long").coalesce(1)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    were = {k: spark.conf.get(k) for k in held}
+    sc, found = spark.sparkContext, {}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for name, more in (("as it comes", {}), ("apart", {"together_rows": 0}), ("mixed", {"together_rows": 300})):
+            sc.setJobGroup(f"packing {name}", name)
+            got = pack(df, cap, **more).collect()
+            stages = {s for j in sc.statusTracker().getJobIdsForGroup(f"packing {name}") for s in sc.statusTracker().getJobInfo(j).stageIds}
+            tasks = sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)))
+            assert sorted(r.length for r in got) == sorted(lengths)
+            by: dict = {}
+            for r in got:
+                by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= cap for x in by.values())
+            found[name] = len(by), tasks
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(n for n, _ in found.values()) <= 1.01 * min(n for n, _ in found.values()) + 1
+    assert found["as it comes"][1] < 200 < found["apart"][1], found

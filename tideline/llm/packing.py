@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ ODD_SPACE = re.compile(r" \s|\s ")
 #: Entries after which a task's table of words starts anew, to bound its memory.
 TABLE_ROWS = 400_000
 GROUP_CHARS = 4_000_000
+#: A superstep over so many documents and slots of gaps at most, as counted, runs as one task without shuffles.
+TOGETHER_ROWS = 10_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -141,19 +144,21 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
     return slim.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def matched(docs: DataFrame, gaps: DataFrame, longest: int, shortest: int) -> DataFrame:
+def matched(docs: DataFrame, gaps: DataFrame, longest: int, shortest: int, together: bool = False) -> DataFrame:
     """(__k, length, seq, slot, free) of each document (__k, length): the gap (seq, free) that a sweep gives it, or nulls.
 
     A gap that holds several documents of the longest length has a slot for each, all but one of that size, so that one
     superstep fills it. Ranks within a size are numbered in salted groups, so a size that a third of all rows share is split;
-    a level has two rows for each size at most.
+    a level has two rows for each size at most. `together`, for few rows, runs the same sweep in one task: a single partition
+    needs no shuffle for windows, and joins that would still have one are broadcast.
     """
+    near = F.broadcast if together else (lambda df: df)
     salts = F.lit(max(8, partitions(docs.sparkSession)))
     several = F.greatest(F.floor(F.col("free") / longest), F.lit(1))
     slots = gaps.where(F.col("free") >= shortest).select("seq", "free", F.posexplode(F.sequence(F.lit(1).cast("long"), several)).alias("slot", "of"))
     slots = slots.select(F.when(F.col("slot") == 0, F.col("free") - (several - 1) * longest).otherwise(longest).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot", "free")
     rows = slots.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("__k").alias("id"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("free")))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "slot"), salts))
+    rows = (rows.coalesce(1) if together else rows).withColumn("salt", F.pmod(F.xxhash64("id", "slot"), salts))
     before = lambda w: w.rowsBetween(W.Window.unboundedPreceding, -1)
     groups = rows.groupBy("size", "kind", "salt").agg(F.count("*").alias("n"))
     base = groups.withColumn("base", F.coalesce(F.sum("n").over(before(W.Window.partitionBy("size", "kind").orderBy("salt"))), F.lit(0).cast("long")))
@@ -164,51 +169,55 @@ def matched(docs: DataFrame, gaps: DataFrame, longest: int, shortest: int) -> Da
     piled = piled.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(up_to)))
     piled = piled.select("size", (F.coalesce(F.lag("after").over(down), F.lit(0)) + F.col("open")).alias("top"), F.coalesce(F.lag("after").over(down), F.lit(0)).alias("under"))
     own = F.row_number().over(W.Window.partitionBy("size", "kind", "salt").orderBy("id", "slot"))
-    rows = rows.withColumn("own", own).join(base.drop("n"), ["size", "kind", "salt"]).join(F.broadcast(piled), "size")  # as many rows as sizes
+    rows = rows.withColumn("own", own).join(near(base.drop("n")), ["size", "kind", "salt"]).join(F.broadcast(piled), "size")  # as many rows as sizes
     rank = F.col("base") + F.col("own") - 1
     rows = rows.withColumn("level", F.when(F.col("kind") == 0, F.col("under") + 1 + rank).otherwise(F.col("top") - rank))
-    on = W.Window.partitionBy("level").orderBy(F.desc("size"), "kind")
-    found = rows.where("level >= 1").select("kind", "id", "size", *(F.lag(c).over(on).alias(f"__{c}") for c in ("id", "slot", "free"))).where("kind = 1")
-    none = rows.where("level < 1").select("id", "size", F.lit(None).cast("long").alias("__id"), F.lit(None).cast("int").alias("__slot"), F.lit(None).cast("long").alias("__free"))
-    return found.drop("kind").unionByName(none).select(F.col("id").alias("__k"), F.col("size").alias("length"), F.col("__id").alias("seq"), F.col("__slot").alias("slot"), F.col("__free").alias("free"))
+    none = F.col("level") < 1  # apart from each other, as many sizes may have some
+    on = W.Window.partitionBy("level", F.when(none, F.col("id"))).orderBy(F.desc("size"), "kind")
+    found = rows.select("kind", "id", "size", *(F.when(~none, F.lag(c).over(on)).alias(f"__{c}") for c in ("id", "slot", "free"))).where("kind = 1")
+    return found.select(F.col("id").alias("__k"), F.col("size").alias("length"), F.col("__id").alias("seq"), F.col("__slot").alias("slot"), F.col("__free").alias("free"))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, together_rows: int = TOGETHER_ROWS) -> DataFrame:
     """Add sequence_id and offset to pieces of (doc_id, piece, length, ...).
 
     Full pieces are sequences. A superstep opens sequences for documents that no gap will ever hold, the first one as many
     as all tokens need; then documents meet gaps, and gaps shrink by what they took. Only sums over documents and gaps reach
     the driver. Supersteps are few (5 to 10 as measured): in each, every gap is filled as far as the longest document left goes.
+    The last ones have few rows left: once no more than `together_rows` meet, a superstep is one task instead of a dozen
+    stages of as many tasks as there are shuffle partitions.
     """
     spark = pieces.sparkSession
     keyed = checkpointed(pieces.withColumn("__k", F.monotonically_increasing_id()))
     docs = keyed.where(F.col("length") < capacity).select("__k", F.col("length").cast("long").alias("length"))
     gaps = spark.createDataFrame([], "seq long, free long")
-    placed = [keyed.where(F.col("length") >= capacity).select("__k", (-1 - F.col("__k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    opened, widest, any_placed = 0, 0, True
+    steps: list[DataFrame] = []
+    opened, widest, open_gaps, room, before = 0, 0, 0, 0, None
     while True:
         out = F.col("length") > widest  # no gap will hold these
         large = F.count_if(out & (F.col("length") > capacity // 2))
-        left = docs.agg(F.max("length").alias("longest"), F.min("length").alias("shortest"), F.sum(F.when(out, F.col("length"))).alias("tokens"), large.alias("large")).first()
+        left = docs.agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.min("length").alias("shortest"), F.sum(F.when(out, F.col("length"))).alias("tokens"), large.alias("large")).first()
         if left["longest"] is None:
             break
-        more = max(left["large"], -(-(left["tokens"] or 0) // capacity), 0 if any_placed else 1)
+        more = max(left["large"], -(-(left["tokens"] or 0) // capacity), 1 if left["n"] == before else 0)
         new = spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("free"))
         opened += more
-        gaps = gaps.unionByName(new)
-        found = checkpointed(matched(docs, gaps, left["longest"], left["shortest"]))
-        took = found.where("seq IS NOT NULL")
-        w = W.Window.partitionBy("seq").orderBy("slot").rowsBetween(W.Window.unboundedPreceding, 0)
-        placed.append(took.select("__k", F.col("seq").alias("sequence_id"), (capacity - F.col("free") + F.sum("length").over(w) - F.col("length")).alias("offset")))
+        most = left["n"] + open_gaps + more + (room + more * capacity) // max(left["longest"], 1)  # each slot but one of a gap takes the longest length
+        together = most <= together_rows
+        gaps = gaps.unionByName(new).coalesce(1) if together else gaps.unionByName(new)
+        found = checkpointed(matched(docs, gaps, left["longest"], left["shortest"], together))
+        took = (found.coalesce(1) if together else found).where("seq IS NOT NULL")
+        steps.append(took.select("__k", "length", "seq", "slot", "free", F.lit(len(steps)).alias("step")))
         taken = took.groupBy("seq").agg(F.sum("length").alias("taken"))
-        gaps = gaps.join(taken, "seq", "left").select("seq", (F.col("free") - F.coalesce("taken", F.lit(0))).alias("free")).where("free > 0")
-        gaps = checkpointed(gaps)
-        docs = found.where("seq IS NULL").select("__k", "length")
-        widest = gaps.agg(F.max("free")).first()[0] or 0
-        any_placed = bool(took.limit(1).count())
-    where = placed[0]
-    for part in placed[1:]:
-        where = where.unionByName(part)
+        gaps = gaps.join(F.broadcast(taken) if together else taken, "seq", "left").select("seq", (F.col("free") - F.coalesce("taken", F.lit(0))).alias("free"))
+        gaps = checkpointed(gaps.where(F.col("free") >= max(left["shortest"], 1)))  # documents left are no shorter later on
+        docs, before = found.where("seq IS NULL").select("__k", "length"), left["n"]
+        widest, open_gaps, room = gaps.agg(F.coalesce(F.max("free"), F.lit(0)), F.count("*"), F.coalesce(F.sum("free"), F.lit(0))).first()
+    where = keyed.where(F.col("length") >= capacity).select("__k", (-1 - F.col("__k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if steps:
+        w = W.Window.partitionBy("seq", "step").orderBy("slot").rowsBetween(W.Window.unboundedPreceding, 0)
+        offset = capacity - F.col("free") + F.sum("length").over(w) - F.col("length")
+        where = where.unionByName(reduce(DataFrame.unionByName, steps).select("__k", F.col("seq").alias("sequence_id"), offset.alias("offset")))
     return keyed.join(where, "__k").select(*pieces.columns, "sequence_id", "offset")
 
 
